@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing that was written."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(prepare(df.sparkSession))}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -77,6 +77,7 @@ def map_text(df: DataFrame, text_col: str, fn, fields: list[T.StructField], keep
 
     Null texts reach ``fn`` as ``None``. The text itself goes back to the JVM only if it is among ``keep``.
     """
+    prepare(df.sparkSession)
     wanted = list(dict.fromkeys([*keep, text_col]))
     out = T.StructType([df.schema[c] for c in keep] + fields)
     from pyspark.sql.pandas.types import to_arrow_schema

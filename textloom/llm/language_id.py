@@ -1,7 +1,7 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased; each run of letters, with a blank on either side, gives its n-grams of 1 to ``MAX_N`` characters,
-hashed to ``BUCKETS`` buckets. Training counts are summed by (language, bucket) on the cluster; the matrix of
+Texts are lower-cased and what stands between letters becomes one blank; n-grams of 1 to ``MAX_N`` characters are hashed
+to ``BUCKETS`` buckets. Training counts are summed by (language, bucket) on the cluster; the matrix of
 log-probabilities, languages times buckets, is what the driver gets and broadcasts (its size is fixed by ``BUCKETS`` and
 ``MAX_LANGUAGES``). A text is scored as a sparse vector of counts against that matrix.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,27 +30,34 @@ MAX_LANGUAGES = 256
 SMOOTHING = 0.05
 UNDETERMINED = "und"
 
-_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
-_LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 20
-
-
-def ngram_buckets(text: str) -> np.ndarray:
-    """Counts of the text's n-grams by bucket."""
-    counts = np.zeros(BUCKETS, np.int64)
-    clean = " " + _NOT_LETTERS.sub(" ", text).lower() + " "
-    for at in range(0, len(clean), _CHUNK):
-        points = np.frombuffer(clean[at : at + _CHUNK + MAX_N - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        code = np.zeros(len(points), np.uint64)
-        own = min(len(points), _CHUNK)
-        for n in range(MAX_N):
-            m = len(points) - n
-            if m <= 0:
-                break
-            code = (code[:m] * np.uint64(0x9E3779B97F4A7C15)) + points[n:] + np.uint64(n + 1)
-            mixed = code * np.uint64(0xD6E8FEB86659FD93)
-            counts += np.bincount((mixed >> np.uint64(49)).astype(np.int64)[:own], minlength=BUCKETS)
-    return counts
+_LETTERS: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
+
+
+def ngram_buckets(text: str) -> np.ndarray | None:
+    """Counts of the text's n-grams by bucket; ``None`` if it has no letter."""
+    counts, seen, table = np.zeros(BUCKETS, np.int64), False, _letters()
+    text = text.lower()
+    for at in range(0, len(text), _CHUNK):  # bounded memory for very long texts
+        points = np.frombuffer((" " + text[at : at + _CHUNK] + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = table[points]
+        if not letter.any():
+            continue
+        seen = True
+        points = np.where(letter, points, 32)[letter | np.r_[True, letter[:-1]]].astype(np.uint64)
+        code, found = np.zeros(len(points), np.uint64), []
+        for n in range(min(MAX_N, len(points))):
+            code = code[: len(points) - n] * np.uint64(0x9E3779B97F4A7C15) + points[n:] + np.uint64(n + 1)
+            found.append((code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49))
+        counts += np.bincount(np.concatenate(found).view(np.int64), minlength=BUCKETS)
+    return counts if seen else None
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -71,8 +77,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
         sums = np.zeros((len(langs), BUCKETS), np.int64)
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang in place:
-                    sums[place[lang]] += ngram_buckets(text)
+                if lang in place and (counts := ngram_buckets(text)) is not None:
+                    sums[place[lang]] += counts
         who, what = np.nonzero(sums)
         for at in range(0, len(who), 65536):
             a, b = who[at : at + 65536], what[at : at + 65536]
@@ -99,11 +105,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
         langs, prior, by_bucket = shared.value
         preds, scores = [], []
         for text in texts:
-            if not langs or text is None or not _LETTER.search(text):
+            counts = ngram_buckets(text) if langs and text else None
+            if counts is None:
                 preds.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            counts = ngram_buckets(text)
             at = np.flatnonzero(counts)
             logs = prior + counts[at] @ by_bucket[at]
             best = int(np.argmax(logs))

@@ -73,7 +73,8 @@ def variant_keys(fps: DataFrame) -> DataFrame:
 
 
 def _bits(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Differing bits; of unsigned numbers, as a negative one would be counted by its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
 def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

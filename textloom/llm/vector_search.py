@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by adaptive dimension scan within inverted lists.
 
 Vectors are put into lists by their nearest centroid (k-means on a bounded sample of at most about ``FIT_ROWS`` vectors;
-every vector is indexed). A query visits the lists of its nearest centroids. Within a list, vectors and query are turned
+every vector is indexed). A query visits the lists of its nearest centroids, as
+many as the sample shows to be needed. Within a list, vectors and query are turned
 by one random rotation and compared block of columns by block of columns: after each block a candidate is abandoned if
 its partial distance, taken as a sample of the whole, rejects the hypothesis that it is nearer than the best found so far.
 Survivors are measured exactly, in double precision, on the original vectors.
@@ -26,9 +27,10 @@ from ._common import materialize
 
 FIT_ROWS = 20_000
 MAX_LISTS = 4096
-#: Lists that a query visits: this share of all, and at least so many.
-PROBE_SHARE = 0.25
-MIN_PROBES = 8
+#: Lists that a query visits: so many that this share of the nearest in the sample is in them, and at least so many.
+FIT_RECALL = 0.97
+MIN_PROBES = 16
+FIT_QUERIES = 256
 CHUNK = 4096
 QUERY_CHUNK = 2048
 #: Columns of a block, and the bound of the test in standard deviations of a partial distance.
@@ -71,6 +73,20 @@ def nearest(rows: np.ndarray, centers: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def probes_needed(sample: np.ndarray, centers: np.ndarray, k: int) -> int:
+    """How many lists hold ``FIT_RECALL`` of the ``k`` nearest of sampled queries, measured against brute force in the sample."""
+    sample = np.unique(sample, axis=0)
+    asked = np.random.default_rng(SEED).permutation(len(sample))[:FIT_QUERIES]
+    own, norms, ranks = nearest(sample, centers, 1)[:, 0], (sample**2).sum(axis=1), []
+    for q in asked:
+        far = norms - 2 * sample @ sample[q]
+        near = np.argpartition(far, min(k, len(far) - 1))[: k + 1]
+        place = np.empty(len(centers), np.int64)
+        place[np.argsort(((centers - sample[q]) ** 2).sum(axis=1), kind="stable")] = np.arange(len(centers))
+        ranks.append(place[own[near]])
+    return min(len(centers), max(MIN_PROBES, 1 + int(np.quantile(np.concatenate(ranks), FIT_RECALL, method="higher"))))
+
+
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
 
@@ -120,10 +136,9 @@ def search(table: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, id_
     share = min(1.0, FIT_ROWS / total)
     sample = vectors if share == 1.0 else vectors.where(F.expr(f"(xxhash64(vec_id) & 1048575) < {int(share * (1 << 20))}"))
     sample = _matrix(sample.select("v").toPandas()["v"])
-    lists = int(min(MAX_LISTS, max(1, round(np.sqrt(total) / 2))))
+    lists = int(min(MAX_LISTS, max(1, round(np.sqrt(total)))))
     centers = kmeans(sample, lists)
-    lists = len(centers)
-    probes = min(lists, max(MIN_PROBES, int(np.ceil(PROBE_SHARE * lists))))
+    probes = probes_needed(sample, centers, k)
     turn = rotation(sample.shape[1])
     shared = spark.sparkContext.broadcast((centers, turn))
 
