@@ -1 +1 @@
-"""Part of the engine; see the package."""
+"""Relational operators over the tables of a text-analytics model."""

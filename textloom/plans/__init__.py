@@ -1 +1 @@
-"""Part of the engine; see the package."""
+"""Plans that put operators together: reading tables, and whole pipelines."""

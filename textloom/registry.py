@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import _register, text, topics  # noqa: F401
+
+QUERIES = _register.QUERIES
+ORACLE_SQL = _register.ORACLE_SQL
