@@ -94,33 +94,25 @@ def stream_positions(sized: DataFrame, targets: DataFrame, depth: int) -> DataFr
     return rows.withColumn("pos", F.col("start") + F.col("ahead")).drop("start", "ahead")
 
 
-def _log_factorial(x: str) -> str:
-    """ln(x!) of a SQL number: Stirling's series beyond 8, shifted there by the product of the next eight numbers."""
-    y = f"(({x}) + 9D)"
-    product = " * ".join(f"(({x}) + {k}D)" for k in range(1, 9))
-    return f"(({y} - 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1D / (12D * {y}) - 1D / (360D * {y} * {y} * {y}) + 1D / (1260D * pow({y}, 5)) - ln({product}))"
-
-
-def _log_choose(n: str, k: str) -> str:
-    return f"({_log_factorial(n)} - {_log_factorial(k)} - {_log_factorial(f'({n}) - ({k})')})"
-
-
 def hypergeometric_sql(total: str, good: str, draws: str, uniform: str) -> str:
-    """SQL for the ``uniform`` quantile of the number of ``good`` ones among ``draws`` of ``total`` (all SQL longs).
+    """SQL for a number of ``good`` ones among ``draws`` of ``total`` (SQL longs), drawn with the ``uniform`` number (0 to 1).
 
-    The distribution is summed within 12 standard deviations of its mode; what is beyond is less than a double resolves.
+    Probabilities relative to the mode's come from the ratio of neighbours, walking up from the mode and down from below
+    it; in that order of the numbers the first whose sum reaches the uniform share of all is the draw. The walk ends 12
+    standard deviations from the mode, beyond which is less than a double resolves.
     """
     n, k, d = total, good, draws
     spread = f"cast(ceil(12D * sqrt(greatest(0D, cast({d} as double) * {k} * ({n} - {k}) * ({n} - {d}) / (cast({n} as double) * {n} * greatest(1, {n} - 1))))) + 8 as bigint)"
-    mode = f"cast(floor((cast({d} as double) + 1) * ({k} + 1) / ({n} + 2)) as bigint)"
-    low = f"greatest(greatest(0, {d} - ({n} - {k})), {mode} - {spread})"
-    high = f"least(least({d}, {k}), {mode} + {spread})"
-    mass = lambda x: f"({_log_choose(k, x)} + {_log_choose(f'{n} - {k}', f'{d} - {x}')})"
-    weights = f"transform(sequence({low}, {high}), hx -> exp({mass('hx')} - hp))"
+    least, most = f"greatest(0, {d} - ({n} - {k}))", f"least({d}, {k})"
+    mode = f"least({most}, greatest({least}, cast(floor((cast({d} as double) + 1) * ({k} + 1) / ({n} + 2)) as bigint)))"
+    step = "(hs, hx) -> named_struct('w', hs.w * {r}, 's', hs.s + hs.w * {r}, 'x', if(hs.s < {t}, hx, hs.x))"
+    up = f"aggregate(if(hv.high > hv.mode, sequence(hv.mode + 1, hv.high), array()), named_struct('w', 1D, 's', 1D, 'x', hv.mode), {step.format(r=f'(({k} - hx + 1D) * ({d} - hx + 1D) / (hx * ({n} - {k} - {d} + hx + 0D)))', t='{t}')})"
+    down = f"aggregate(if(hv.low < hv.mode, sequence(hv.mode - 1, hv.low, -1), array()), named_struct('w', 1D, 's', 0D, 'x', hv.mode), {step.format(r=f'((hx + 1D) * ({n} - {k} - {d} + hx + 1D) / (({k} - hx) * ({d} - hx + 0D)))', t='{t}')})"
     return (
-        f"aggregate(array({mass(f'least(greatest({mode}, {low}), {high})')}), 0L, (ha, hp) -> "
-        f"aggregate(array({weights}), 0L, (hb, hw) -> {low} + aggregate(hw, named_struct('sum', 0D, 'n', 0L), "
-        f"(hs, hv) -> named_struct('sum', hs.sum + hv, 'n', hs.n + if(hs.sum + hv < {uniform} * aggregate(hw, 0D, (hc, he) -> hc + he), 1L, 0L)), hs -> least(hs.n, cast(size(hw) - 1 as bigint)))))"
+        f"aggregate(array(named_struct('mode', {mode}, 'spread', {spread})), 0L, (ha, hm) -> "
+        f"aggregate(array(named_struct('mode', hm.mode, 'low', greatest({least}, hm.mode - hm.spread), 'high', least({most}, hm.mode + hm.spread))), 0L, (hb, hv) -> "
+        f"aggregate(array(named_struct('up', {up.format(t='0D')}.s, 'down', {down.format(t='0D')}.s)), 0L, (hc, hu) -> "
+        f"if({uniform} * (hu.up + hu.down) <= hu.up, {up.format(t=f'{uniform} * (hu.up + hu.down)')}.x, {down.format(t=f'{uniform} * (hu.up + hu.down) - hu.up')}.x))))"
     )
 
 
@@ -150,8 +142,8 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks
     nodes = root.selectExpr("0L as node", "transform(q, x -> 0L) as start", "transform(q, x -> x.quota) as quota")
     for level in range(depth):
         nodes = split_quotas(nodes, seed)
-        if level % 5 == 4:
-            nodes = nodes.repartition(2 ** min(level + 1, 12), "node")
+        if level % 4 == 3 or level == depth - 1:  # keeps plans short, and spreads the nodes as they grow in number
+            nodes = materialize(nodes.repartition(2 ** min(max(0, level - 4), 12), "node"), "quotas")
     own = nodes.selectExpr("node as shard", "explode(filter(transform(quota, (v, i) -> named_struct('rank', i, 'first', start[i], 'n', v)), x -> x.n > 0)) as own")
     return own.selectExpr("own.rank as rank", "explode(sequence(own.first, own.first + own.n - 1)) as place", "shard")
 
