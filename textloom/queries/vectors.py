@@ -45,10 +45,10 @@ SEEDS = f"SELECT CAST(label AS BIGINT) AS topic, arg_min({D}, vec_id) AS c FROM
 ROWS = f"SELECT vec_id, {D} AS e FROM embeddings"
 
 
-@query(f"SELECT topic, i, round(c, 6) AS value FROM ({CENTERS})")
+@query(f"SELECT topic, i, round(c, 6) + 0.0 AS value FROM ({CENTERS})")
 def centroids(spark, sf_dir):
     c = _centers(spark, sf_dir).select("topic", F.posexplode("vector").alias("i", "x"))
-    return c.select("topic", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("value"))
+    return c.select("topic", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
 
 @query(f"SELECT vec_id, CAST(label AS BIGINT) AS topic, round({cos_sql('e', 'c')}, 6) AS similarity FROM (SELECT *, {D} AS e FROM embeddings) JOIN ({CENTER_LISTS}) ON topic = label")
@@ -63,21 +63,21 @@ def nearest_topic(spark, sf_dir):
     return similarity.nearest(_embedded(spark, sf_dir).drop("topic"), _centers(spark, sf_dir), digits=6).select("vec_id", "topic", "similarity")
 
 
-@query(f"SELECT topic // 2 AS topic, i, round(sum(n * c) / sum(n), 6) AS value FROM (SELECT topic, i, avg(x) AS c, count(*) AS n FROM ({LONG}) GROUP BY 1, 2) GROUP BY 1, 2")
+@query(f"SELECT topic // 2 AS topic, i, round(sum(n * c) / sum(n), 6) + 0.0 AS value FROM (SELECT topic, i, avg(x) AS c, count(*) AS n FROM ({LONG}) GROUP BY 1, 2) GROUP BY 1, 2")
 def weighted_topic_vectors(spark, sf_dir):
     sizes = _embedded(spark, sf_dir).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     merged = _centers(spark, sf_dir).join(small(sizes), "topic").withColumn("topic", F.expr("topic div 2"))
     means = v.mean_vectors(merged, "topic", "vector", "n").select("topic", F.posexplode("vector").alias("i", "x"))
-    return means.select("topic", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("value"))
+    return means.select("topic", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
 
-@query(f"""SELECT l.vec_id, l.i, round(0.6 * l.x + 0.3 * q.x + 0.1 * m.x, 6) AS value FROM ({LONG}) l JOIN (SELECT i, x FROM ({LONG}) WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q USING (i)
+@query(f"""SELECT l.vec_id, l.i, round(0.6 * l.x + 0.3 * q.x + 0.1 * m.x, 6) + 0.0 AS value FROM ({LONG}) l JOIN (SELECT i, x FROM ({LONG}) WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q USING (i)
   JOIN (SELECT i, avg(x) AS x FROM ({LONG}) GROUP BY i) m USING (i)""")
 def question_aware_blend(spark, sf_dir):
     rows = _embedded(spark, sf_dir)
     question = rows.agg(F.min_by("vector", "vec_id").alias("vector"))
     out = similarity.question_aware(rows, question).select("vec_id", F.posexplode("vector").alias("i", "x"))
-    return out.select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("value"))
+    return out.select("vec_id", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
 
 @query(f"SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS l2, round(list_sum(list_transform(e, lambda x: abs(x))), 6) AS l1, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM ({ROWS})")
@@ -98,16 +98,17 @@ def combine_embeddings(spark, sf_dir):
   d AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS vec_id FROM (SELECT term, count(*) AS n FROM w GROUP BY term) QUALIFY vec_id < 500),
   j AS (SELECT doc_id, embedding FROM w JOIN d USING (term) JOIN embeddings USING (vec_id)),
   s AS (SELECT doc_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM j)
-  SELECT doc_id, i, round(avg(x), 6) AS value FROM s WHERE i < 4 GROUP BY 1, 2""")
+  SELECT doc_id, i, round(avg(x), 6) + 0.0 AS value FROM s GROUP BY 1, 2""")
 def word_vector_mean(spark, sf_dir):
     from ..functions import tokens as tk
 
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tk.tokens(F.col("text"))).alias("term"))
     common = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(500)
     known = common.withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("n"), "term")).cast("long") - 1).select("term", "vec_id")
-    vectors = known.join(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), "vec_id").select("term", "e")
-    means = v.mean_vectors(words.join(small(vectors), "term"), "doc_id", "e").select("doc_id", F.posexplode("vector").alias("i", "x"))
-    return means.select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("value"))
+    vectors = known.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e")), "vec_id").select("term", "e")
+    counted = words.join(small(vectors), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.any_value("e").alias("e"))
+    means = v.mean_vectors(counted, "doc_id", "e", "n").select("doc_id", F.posexplode("vector").alias("i", "x"))
+    return means.select("doc_id", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
 
 @query(nearest_sql(ROWS, SEEDS, 0.3))
@@ -150,13 +151,13 @@ def noise_rescue(spark, sf_dir):
     return clusters.rescue_by_similarity(_noisy(spark, sf_dir), threshold=0.25).select("vec_id", "cluster", "rescued")
 
 
-@query(f"""WITH t AS (SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0 ORDER BY vec_id LIMIT 20),
+@query(f"""WITH t AS (SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0 ORDER BY vec_id LIMIT 1000),
   s AS (SELECT vec_id, unnest(range(10)) AS topic, unnest(list_transform(embedding[1:10], lambda x: abs(CAST(x AS DOUBLE)))) AS strength FROM embeddings JOIN t USING (vec_id)),
   b AS (SELECT vec_id, topic, strength FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY strength DESC, topic) = 1)
   SELECT vec_id, coalesce(b.topic, {NOISY}) AS cluster FROM embeddings LEFT JOIN (SELECT * FROM b WHERE strength > 0.2) b USING (vec_id)""")
 def noise_rescue_strength(spark, sf_dir):
     strengths = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))).alias("topic", "strength"))
-    return clusters.rescue_by_strength(_noisy(spark, sf_dir), strengths.withColumn("topic", F.col("topic").cast("long")), "vec_id", threshold=0.2, attempts=20).select("vec_id", "cluster")
+    return clusters.rescue_by_strength(_noisy(spark, sf_dir), strengths.withColumn("topic", F.col("topic").cast("long")), "vec_id", threshold=0.2).select("vec_id", "cluster")
 
 
 @query(f"""SELECT vec_id, topic FROM ({nearest_sql(f'{ROWS} WHERE vec_id % 5 = 0', NOISY_CENTERS)}) UNION ALL SELECT vec_id, CAST(label AS BIGINT) FROM embeddings WHERE vec_id % 5 <> 0""")
