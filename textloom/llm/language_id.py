@@ -44,19 +44,21 @@ def _letters() -> np.ndarray:
 def ngram_buckets(text: str) -> np.ndarray | None:
     """Counts of the text's n-grams by bucket; ``None`` if it has no letter."""
     counts, seen, table = np.zeros(BUCKETS, np.int64), False, _letters()
-    text = text.lower()
-    for at in range(0, len(text), _CHUNK):  # bounded memory for very long texts
-        points = np.frombuffer((" " + text[at : at + _CHUNK] + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = f" {text.lower()} "
+    tail, after_letter = np.zeros(0, np.uint64), True
+    for at in range(0, len(text), _CHUNK):  # bounded memory for very long texts; the tail carries n-grams over the cut
+        points = np.frombuffer(text[at : at + _CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = table[points]
-        if not letter.any():
-            continue
-        seen = True
-        points = np.where(letter, points, 32)[letter | np.r_[True, letter[:-1]]].astype(np.uint64)
+        seen = seen or bool(letter.any())
+        clean = np.where(letter, points, 32)[letter | np.r_[after_letter, letter[:-1]]].astype(np.uint64)
+        points, known, after_letter = np.r_[tail, clean], len(tail), letter[-1]
         code, found = np.zeros(len(points), np.uint64), []
         for n in range(min(MAX_N, len(points))):
             code = code[: len(points) - n] * np.uint64(0x9E3779B97F4A7C15) + points[n:] + np.uint64(n + 1)
-            found.append((code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49))
-        counts += np.bincount(np.concatenate(found).view(np.int64), minlength=BUCKETS)
+            found.append((code[max(0, known - n) :] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49))
+        if found:
+            counts += np.bincount(np.concatenate(found).view(np.int64), minlength=BUCKETS)
+        tail = points[-(MAX_N - 1) :]
     return counts if seen else None
 
 
