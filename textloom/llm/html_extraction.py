@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from ._common import map_text
 
-TRAIN_PAGES = 500
-EPOCHS = 5
+TRAIN_PAGES = 600
+EPOCHS = 8
 SEED = 11
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -337,10 +337,16 @@ class _Writer:
 
         def fill():
             if r.random() < 0.8:
-                self.put(r.choice(("h1", "h1", "h2")), self.words(r.randint(2, 14)), 1)
+                title = lambda: self.put(r.choice(("h1", "h1", "h2")), self.words(r.randint(2, 14)), 1)
+                if r.random() < 0.15:
+                    self.wrap(r.choice(("header", "div.entry-header", "hgroup")), title)
+                else:
+                    title()
             for _ in range(r.randint(1, 14)):
                 kind = r.random()
-                if kind < 0.62:
+                if kind < 0.1:
+                    self.put("p", self.words(r.randint(1, 4)) + r.choice(("", ".", "!", ":", " ***", "#")), 1, shut=r.random() < 0.9)
+                elif kind < 0.62:
                     self.put("p", self.sentence(1 if r.random() < 0.2 else 12, 90), 1, shut=r.random() < 0.9)
                 elif kind < 0.72:
                     self.out.append(f"<p><b>{self.sentence(4, 30)}<br>")
