@@ -92,7 +92,7 @@ def top_concepts(spark, sf_dir):
     return f.where("level = 'Concept'").orderBy(F.desc("frequency"), "id").limit(5)
 
 
-@query(f"WITH e AS (SELECT conv_id, count(DISTINCT theme) AS t, count(DISTINCT concept) AS c FROM ({ASSIGNED}) GROUP BY 1) SELECT count_if(t > 1) AS multi_theme, count_if(c > 1) AS multi_concept FROM e")
+@query(f"WITH e AS (SELECT conv_id, count(DISTINCT theme) AS t, count(DISTINCT concept) AS c FROM ({ASSIGNED}) GROUP BY 1) SELECT count(*) FILTER (WHERE t > 1) AS multi_theme, count(*) FILTER (WHERE c > 1) AS multi_concept FROM e")
 def multi_concept_counts(spark, sf_dir):
     return export.several(_assigned(spark, sf_dir), "conv_id")
 
@@ -103,13 +103,13 @@ def codebook_check(spark, sf_dir):
     return export.in_codebook(_assigned(spark, sf_dir), book)
 
 
-@query("""SELECT count_if(b IS NULL) AS only_original, count_if(a IS NULL) AS only_processed, count_if(a IS NOT NULL AND b IS NOT NULL) AS matched,
-  round(100.0 * count_if(a IS NOT NULL AND b IS NOT NULL) / count(a), 2) AS match_pct FROM (SELECT DISTINCT doc_id AS a FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b""")
+@query("""SELECT count(*) FILTER (WHERE b IS NULL) AS only_original, count(*) FILTER (WHERE a IS NULL) AS only_processed, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS matched,
+  round(100.0 * count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) / count(a), 2) AS match_pct FROM (SELECT DISTINCT doc_id AS a FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b""")
 def id_consistency(spark, sf_dir):
     return export.id_consistency(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT count_if(value <> floor(value)) AS fractional, count(*) AS total FROM events")
+@query("SELECT count(*) FILTER (WHERE value <> floor(value)) AS fractional, count(*) AS total FROM events")
 def id_format(spark, sf_dir):
     return export.fractional_ids(table(spark, sf_dir, "events"), "value")
 

@@ -40,8 +40,8 @@ def finalize_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.finalize(F.col("text"))).alias("finalized"))
 
 
-@query(f"""SELECT count_if(lower(text) <> text) AS case_changed, count_if(regexp_matches(text, '{BLANK}{{2,}}')) AS spaces,
-  count_if({norm_sql('text')} = '<NA>') AS became_missing, count(*) AS total FROM documents""")
+@query(f"""SELECT count(*) FILTER (WHERE lower(text) <> text) AS case_changed, count(*) FILTER (WHERE regexp_matches(text, '{BLANK}{{2,}}')) AS spaces,
+  count(*) FILTER (WHERE {norm_sql('text')} = '<NA>') AS became_missing, count(*) AS total FROM documents""")
 def normalizer_stats(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").agg(
@@ -52,9 +52,9 @@ def normalizer_stats(spark, sf_dir):
     )
 
 
-@query(f"""SELECT count_if(substring(text, 1, 1) <> upper(substring(text, 1, 1))) AS no_capital,
-  count_if(right(text, 1) NOT IN ('.', '!', '?')) AS no_end_mark,
-  count_if(regexp_matches(text, '\\.{{2,}}|\\?{{2,}}|!{{2,}}|{BLANK}{{2,}}')) AS repeated_marks FROM documents""")
+@query(f"""SELECT count(*) FILTER (WHERE substring(text, 1, 1) <> upper(substring(text, 1, 1))) AS no_capital,
+  count(*) FILTER (WHERE right(text, 1) NOT IN ('.', '!', '?')) AS no_end_mark,
+  count(*) FILTER (WHERE regexp_matches(text, '\\.{{2,}}|\\?{{2,}}|!{{2,}}|{BLANK}{{2,}}')) AS repeated_marks FROM documents""")
 def finalizer_stats(spark, sf_dir):
     t = F.col("text")
     first = F.substring(t, 1, 1)
@@ -93,8 +93,8 @@ def prompt_fill(spark, sf_dir):
     )
 
 
-@query("""SELECT event_type, count(*) AS n, count_if(v IS NULL) AS n_nan, count_if(v IS NOT NULL AND try_cast(v AS DOUBLE) IS NOT NULL) AS n_numeric,
-  count_if(v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) AS n_string
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS n_nan, count(*) FILTER (WHERE v IS NOT NULL AND try_cast(v AS DOUBLE) IS NOT NULL) AS n_numeric,
+  count(*) FILTER (WHERE v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) AS n_string
   FROM (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS v FROM events) GROUP BY event_type""")
 def response_types(spark, sf_dir):
     raw = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
@@ -102,8 +102,8 @@ def response_types(spark, sf_dir):
     return typed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("nan", "numeric", "string")])
 
 
-@query("""SELECT 'text' AS variable, count(text) AS n_valid, count_if(text IS NULL) AS n_null, count(DISTINCT text) AS n_distinct FROM documents
-  UNION ALL SELECT 'source', count(source), count_if(source IS NULL), count(DISTINCT source) FROM documents""")
+@query("""SELECT 'text' AS variable, count(text) AS n_valid, count(*) FILTER (WHERE text IS NULL) AS n_null, count(DISTINCT text) AS n_distinct FROM documents
+  UNION ALL SELECT 'source', count(source), count(*) FILTER (WHERE source IS NULL), count(DISTINCT source) FROM documents""")
 def variable_profile(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     # Texts are told apart by digest, so the distinct count shuffles 32 characters a row instead of whole texts.
@@ -127,8 +127,8 @@ def missing_codes(spark, sf_dir):
 
 @query("""WITH g AS (SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 0 THEN 99999998 END AS code, l.quality = 0 AS f FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
   q AS (SELECT code, code IS NOT NULL OR coalesce(f, FALSE) AS bad FROM g)
-  SELECT count(*) AS total, count_if(NOT bad) AS meaningful, count_if(bad) AS meaningless, round(100.0 * count_if(bad) / count(*), 2) AS pct_meaningless,
-  count_if(code IS NULL) AS graded, count_if(code IS NOT NULL) AS pre_filtered FROM q""")
+  SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS meaningful, count(*) FILTER (WHERE bad) AS meaningless, round(100.0 * count(*) FILTER (WHERE bad) / count(*), 2) AS pct_meaningless,
+  count(*) FILTER (WHERE code IS NULL) AS graded, count(*) FILTER (WHERE code IS NOT NULL) AS pre_filtered FROM q""")
 def quality_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit(quality.SYSTEM_MISSING)).alias("code"))
     grades = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("grade_filter"), F.lit(0).alias("grade_code"))

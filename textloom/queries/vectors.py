@@ -197,7 +197,7 @@ def cluster_filter_remap(spark, sf_dir):
 
 
 @query(f"""WITH c AS (SELECT {NOISY} AS cluster FROM embeddings), s AS (SELECT cluster, count(*) AS n FROM c WHERE cluster <> -1 GROUP BY 1)
-  SELECT round(count_if(cluster = -1) / count(*), 6) AS noise_ratio, round(1 - count_if(cluster = -1) / count(*), 6) AS coverage, (SELECT count(*) FROM s) AS clusters,
+  SELECT round(count(*) FILTER (WHERE cluster = -1) / count(*), 6) AS noise_ratio, round(1 - count(*) FILTER (WHERE cluster = -1) / count(*), 6) AS coverage, (SELECT count(*) FROM s) AS clusters,
   (SELECT round(avg(n), 6) FROM s) AS mean_size, (SELECT round(var_pop(n), 6) FROM s) AS size_variance FROM c""")
 def cluster_quality(spark, sf_dir):
     q = clusters.quality(_noisy(spark, sf_dir))
@@ -248,10 +248,13 @@ def top_clusters(spark, sf_dir):
 
 @query()
 def mmr_words(spark, sf_dir):
-    """A diverse choice of ten rows for each topic among its first hundred."""
-    order = Window.partitionBy("topic").orderBy("vec_id")
-    candidates = _embedded(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k <= 100").drop("k")
-    return clusters.mmr(candidates, "topic", "vec_id", "vector", _centers(spark, sf_dir), 0.3)
+    """A diverse choice of ten rows for each topic among the hundred nearest to its centre, the method's candidates."""
+    centers = _centers(spark, sf_dir)
+    near = F.round(v.cosine(v.doubles(F.col("vector")), F.col("c")), 9)
+    order = Window.partitionBy("topic").orderBy(F.desc("near"), "vec_id")
+    scored = _embedded(spark, sf_dir).join(small(centers.withColumnRenamed("vector", "c")), "topic").withColumn("near", near)
+    candidates = scored.withColumn("k", F.row_number().over(order)).where("k <= 100").select("vec_id", "vector", "topic")
+    return clusters.mmr(candidates, "topic", "vec_id", "vector", centers, 0.3)
 
 
 @query()
