@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_text, materialize
+from ._common import checked_broadcast, map_text, materialize
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -34,6 +34,8 @@ SEED = 42
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 HOT_BUCKET = 2048
+#: Ids of copies to be left out are broadcast up to this many rows; more are joined by shuffling the documents.
+BROADCAST_IDS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -253,7 +255,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialize(near_duplicates(docs, id_col, text_col).where(F.col("doc_id").isNotNull()), "near-duplicates")
     by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     gone = by_id.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    kept = docs.join(checked_broadcast(gone, BROADCAST_IDS), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
     repeated = by_id.where("component_id = doc_id and n > 1").select(F.col("doc_id").alias("__twice"))
     if repeated.isEmpty():
         return kept
