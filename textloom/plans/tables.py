@@ -13,7 +13,10 @@ BROADCAST_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table. Documents in fewer files than there are cores are spread over the cores, as taking texts apart is what costs; with files enough, nothing is moved."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
