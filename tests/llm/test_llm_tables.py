@@ -11,6 +11,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from textloom.llm import bpe, html_extraction, language_id, pii, quality_rules, queries, simhash_dedup, source_mixing, suffix_tree_lm, token_counts, vector_search
 from textloom.llm._common import prepare, read_table
@@ -219,25 +220,77 @@ def test_lm(spark, odd, none):
     assert suffix_tree_lm.score_documents(none).count() == 0
 
 
-def test_states_distributions_sum_to_one(spark, sf):
+def _suffix_tree_scores(texts):
+    """Each text's score by dictionaries: the tree's definition, word by word."""
+    m = suffix_tree_lm
+    split = lambda t: [*(t or "").encode().lower().split(), 0]
+    train = [split(t) for d, t in texts if zlib.crc32(str(d).encode()) % 5 != 1]
+    words = Counter(w for t in train for w in t)
+    n = sum(words.values())
+    root = lambda w: (words[w] + 0.5) / (n + 0.5 * (len(words) + 1))
+    least = max(m.MIN_CONTEXT, math.sqrt(n) / m.CONTEXT_GROWTH)
+    one = Counter((t[i - 1], t[i]) for t in train for i in range(1, len(t)))
+    two = Counter((t[i - 2], t[i - 1], t[i]) for t in train for i in range(2, len(t)))
+    singles = {w: c for w, c in words.items() if c >= least and w != 0}
+    pairs = {k: c for k, c in one.items() if k[0] in singles and k[1] in singles and c >= least}
+
+    def rate(states, grams, parent):
+        kept, passed = {}, {}
+        for g, c in grams.items():
+            if g[:-1] in states and c >= m.MIN_ENTRY:
+                kept.setdefault(g[:-1], {})[g[-1]] = c
+        for s, occurs in states.items():
+            held = sum(kept.get(s, {}).values())
+            spare, mass = occurs - held + m.BACKOFF, occurs + m.BACKOFF
+            gain = sum(c * math.log((c + spare * parent(s, w)) / mass / parent(s, w)) for w, c in kept.get(s, {}).items())
+            if gain + (spare - m.BACKOFF) * math.log(spare / mass) >= m.MIN_GAIN * occurs:
+                passed[s] = (kept.get(s, {}), spare, mass)
+        return passed
+
+    level1 = rate({(w,): c for w, c in singles.items()}, one, lambda s, w: root(w))
+    blend = lambda level, s, w, p: (level[s][0].get(w, 0) + level[s][1] * p) / level[s][2] if s in level else p
+    level2 = rate(pairs, two, lambda s, w: blend(level1, s[1:], w, root(w)))
+    scores = {}
+    for d, t in texts:
+        t = split(t)
+        total = 0.0
+        for i, w in enumerate(t):
+            p = root(w)
+            if i:
+                p = blend(level1, (t[i - 1],), w, p)
+            if i > 1:
+                p = blend(level2, (t[i - 2], t[i - 1]), w, p)
+            total += math.log10(p)
+        scores[d] = total
+    return scores, len(level1), len(level2)
+
+
+def test_lm_scores_by_the_tree(spark, sf, monkeypatch):
+    """Whole texts against dictionaries, in several blocks that share words and pairs; more states than usual, for a small table."""
+    monkeypatch.setattr(suffix_tree_lm, "CONTEXT_GROWTH", 8.0)
     docs = read_table(prepare(spark), sf, "documents")
-    rows = docs.select("doc_id", "text", suffix_tree_lm.held_out("doc_id", 5, 1).alias("h"))
-    blocks = suffix_tree_lm.cut_blocks(rows, "doc_id", "text", "h")
-    totals = suffix_tree_lm.word_totals(blocks)
-    tree = suffix_tree_lm.learn(blocks, totals)
-    words = totals.where("first").select("word", "total").collect()
-    seen = [r for r in words if r["word"] is not None]
-    vocab = np.array([r["word"] for r in seen] + [0])
-    once = tree.distinct - len(seen) - 1
-    counts = np.array([r["total"] for r in seen] + [tree.ends], float)
-    root = tree.root(counts)
-    assert root.sum() + once * tree.root(np.ones(1))[0] + tree.root(np.zeros(1))[0] == pytest.approx(1)
-    good = np.flatnonzero(tree.levels[0][3])
-    assert len(good)
-    for s in good[:5]:
-        p = tree.step(0, np.full(len(vocab), s), vocab, root)
-        rest = tree.levels[0][2][0][s] / tree.levels[0][2][1][s] * (once * tree.root(np.ones(1))[0] + tree.root(np.zeros(1))[0])
-        assert p.sum() + rest == pytest.approx(1)
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want, ones, twos = _suffix_tree_scores(texts)
+    assert ones > 20 and twos > 5
+    for r in suffix_tree_lm.score_documents(docs.repartition(7)).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+
+
+def test_states_follow_the_input(spark):
+    """Distributions of the states sum to one, and a larger corpus has more states."""
+    rng = np.random.default_rng(3)
+    found = []
+    for size in (400, 3200):
+        rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 60) if k < 5000)) for i in range(size)]
+        docs = prepare(spark).createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit(False).alias("h"))
+        blocks = suffix_tree_lm.cut_blocks(docs, "doc_id", "text", "h")
+        totals = suffix_tree_lm.word_totals(blocks)
+        tree, answers = suffix_tree_lm.learn(blocks, totals)
+        found.append(len(tree.singles))
+        held = {r["state"]: r["n"] for r in answers[0].where("first").groupBy("state").agg(F.sum("total").alias("n")).collect()}
+        spare, mass, _ = tree.levels[0]
+        assert all(held.get(s, 0) + spare[s] == pytest.approx(mass[s]) for s in range(len(mass)))
+    assert found[1] > found[0] > 0
 
 
 def test_contexts_help_on_held_out_texts(spark, sf):

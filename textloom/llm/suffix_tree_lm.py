@@ -1,15 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States of the tree are contexts of one or two words whose share of the training tokens is at least ``CONTEXT_SHARE``, and
-which pass a divergence test: the mean gain in log-likelihood of the words that follow, against the context's parent
-(itself without its first word), must be at least ``MIN_GAIN``. A state keeps counts of the next words whose share with it
-is at least ``ENTRY_SHARE``; the rest of its mass goes to the parent's distribution, so each state's distribution sums to
+States of the tree are contexts of one or two words that occur at least sqrt(training tokens) / ``CONTEXT_GROWTH`` times in
+training, and which pass a divergence test: the mean gain in log-likelihood of the words that follow, against the context's
+parent (itself without its first word), must be at least ``MIN_GAIN``. A state keeps the counts of all next words seen
+``MIN_ENTRY`` times or more; the rest of its mass goes to the parent's distribution, so each state's distribution sums to
 one. A word is scored by the longest state that is a suffix of the words before it; a root without context gives the
 smoothed word frequencies.
 
-Counts cover all training documents and are summed on the cluster. The vocabulary is unbounded and never leaves it: texts
-are cut into blocks, each block asks for the counts of its own distinct words, and one shuffle by word and one back by
-block answer all blocks. States and entries are at most 1/share of them, whatever the input, and are broadcast.
+Counts cover all training documents and are summed on the cluster. Neither the vocabulary nor the entries are bounded, and
+neither leaves the cluster: texts are cut into blocks, each block asks for the counts of its own distinct words and of its
+own distinct (state, word) pairs, and one shuffle by what is asked and one back by block answer all blocks. Only the states
+are sent to workers: at each level there are at most ``CONTEXT_GROWTH`` * sqrt(tokens) of them, of 25 bytes each.
 
 Defined cases: a null text is an empty text, one end token; a null id is in training; repeated rows are trained on and
 scored as often as they occur; with no training documents every token has the probability 1 of an empty model; an empty
@@ -18,10 +19,12 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -30,8 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-CONTEXT_SHARE = 2.0**-13
-ENTRY_SHARE = 2.0**-20
+CONTEXT_GROWTH = 2.0
 MIN_CONTEXT = 16
 MIN_ENTRY = 2
 MIN_GAIN = 0.02
@@ -110,10 +112,21 @@ def word_totals(blocks: DataFrame) -> DataFrame:
     return materialize(told.select("block", "pos", "total", "first", F.when(F.col("first") & (F.col("total") > 1), F.col("word")).alias("word")), "totals")
 
 
+def _rows(batches) -> Iterator[dict]:
+    """Blocks as dictionaries of numpy arrays; ids stay an Arrow array."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {}
+            for name, column in zip(batch.schema.names, batch.columns):
+                value = column[k]
+                row[name] = value.as_py() if name in ("block", "codes") else value.values if name == "ids" else value.values.to_numpy(zero_copy_only=False)
+            yield row
+
+
 def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word codes of a block's documents, each followed by the end's code (one past the words), the documents' bounds, and the words' hashes with the end's."""
-    sizes = np.array(row["sizes"], np.int64)
-    words = np.r_[np.array(row["words"], np.int64), END]
+    sizes = row["sizes"].astype(np.int64)
+    words = np.r_[row["words"], END]
     flat = np.frombuffer(zlib.decompress(row["codes"]), np.int32)
     bounds = np.cumsum(sizes + 1)
     out = np.full(int(bounds[-1]) if len(bounds) else 0, len(words) - 1, np.int64)
@@ -153,138 +166,181 @@ def _contexts(flat: np.ndarray, bounds: np.ndarray, words: np.ndarray, singles:
     return one, two
 
 
-def count_next(blocks: DataFrame, singles: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
-    """state, word, n: how often ``word`` follows each state in training documents: one-word states, or with ``pairs`` two-word states."""
-    shared = blocks.sparkSession.sparkContext.broadcast((singles, pairs))
-
-    def run(batches):
-        singles, pairs = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                flat, bounds, words = _codes(row)
-                if not len(flat):
-                    continue
-                one, two = _contexts(flat, bounds, words, singles, pairs if pairs is not None else np.zeros(0, np.int64))
-                state = one if pairs is None else two
-                train = np.repeat(~np.array(row["held"], bool), np.array(row["sizes"], np.int64) + 1)
-                at = np.flatnonzero((state >= 0) & train)
-                keys, n = np.unique(state[at] * len(words) + flat[at], return_counts=True)
-                for k in range(0, len(keys), 1 << 17):
-                    part = keys[k : k + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array((part // len(words)).astype(np.int32)), pa.array(words[part % len(words)]), pa.array(n[k : k + (1 << 17)].astype(np.int64))], names=["state", "word", "n"])
-
-    return blocks.select("held", "sizes", "codes", "words").mapInArrow(run, "state int, word long, n long").groupBy("state", "word").agg(F.sum("n").alias("n"))
-
-
 class Tree:
-    """The states and entries of the tree, as sorted arrays; small enough to be sent to every worker."""
+    """The states of the tree, as sorted arrays; small enough to be sent to every worker."""
 
     def __init__(self, tokens: int, distinct: int, ends: int):
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
         empty = np.zeros(0, np.int64)
         self.singles, self.pairs = empty, empty
-        self.levels = [(empty, np.zeros(0), np.zeros(0), np.zeros(0, bool))] * 2
+        #: For each level, each state's mass left to the parent, its whole mass, and whether it passed the test.
+        self.levels = [(np.zeros(0), np.zeros(0), np.zeros(0, bool))] * 2
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
 
-    def add_level(self, level: int, states: int, state: np.ndarray, word: np.ndarray, n: np.ndarray, parent: np.ndarray, total: np.ndarray) -> None:
-        """Tests each state and keeps its entries: ``parent`` is each entry's probability one level up, ``total`` each state's count."""
-        held = np.bincount(state, n, states)
-        spare = total - held + BACKOFF
-        gain = np.bincount(state, n * np.log((n + spare[state] * parent) / (held + spare)[state] / parent), states) + (total - held) * np.log(spare / (held + spare))
-        good = gain >= MIN_GAIN * np.maximum(total, 1)
-        keys = _mix(state, word)
-        order = np.argsort(keys)
-        self.levels[level] = (keys[order], n[order].astype(float), np.stack([spare, held + spare]), good)
-
-    def step(self, level: int, state: np.ndarray, word: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Probabilities of ``word`` in ``state``; those of the parent where there is no such state or it failed its test."""
-        keys, n, mass, good = self.levels[level]
+    def step(self, level: int, state: np.ndarray, seen: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Probabilities of words seen ``seen`` times after ``state``; those of the parent where there is no such state or it failed its test."""
+        spare, mass, good = self.levels[level]
         at = np.flatnonzero(state >= 0)
         at = at[good[state[at]]] if len(good) else at[:0]
         out = parent.copy()
-        if len(at):
-            s = state[at]
-            place = _state_of(keys, _mix(s, word[at]))
-            seen = np.where(place >= 0, n[place], 0.0) if len(keys) else 0.0
-            out[at] = (seen + mass[0][s] * parent[at]) / mass[1][s]
+        s = state[at]
+        out[at] = (seen[at] + spare[s] * parent[at]) / mass[s]
         return out
 
 
+def _asked(state: np.ndarray, flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct (state, word) pairs in order, as state * width + code; the tokens with a state, and the pair of each."""
+    at = np.flatnonzero(state >= 0)
+    keys, pair = np.unique(state[at] * width + flat[at], return_inverse=True)
+    return keys, at, pair
+
+
+def next_totals(blocks: DataFrame, tree: Tree, level: int) -> DataFrame:
+    """block, pos, total, first, state, word: how often each block's (state, word) pairs occur in training, if ``MIN_ENTRY`` times or more.
+
+    ``first`` marks one row of each pair; ``state`` and ``word`` stand there only. Training and held-out texts ask alike.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((tree.singles, tree.pairs if level else np.zeros(0, np.int64)))
+
+    def run(batches):
+        singles, pairs = shared.value
+        for row in _rows(batches):
+            flat, bounds, words = _codes(row)
+            if not len(flat):
+                continue
+            states = _contexts(flat, bounds, words, singles, pairs)[level]
+            keys, at, pair = _asked(states, flat, len(words))
+            train = np.repeat(~row["held"], row["sizes"].astype(np.int64) + 1)
+            n = np.bincount(pair[train[at]], minlength=len(keys))
+            for k in range(0, len(keys), 1 << 16):
+                part = keys[k : k + (1 << 16)]
+                columns = [pa.array([row["block"]] * len(part)), (part // len(words)).astype(np.int32), words[part % len(words)], np.arange(k, k + len(part), dtype=np.int32), n[k : k + len(part)].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "state", "word", "pos", "n"])
+
+    asked = blocks.select("block", "held", "sizes", "codes", "words").mapInArrow(run, "block string, state int, word long, pos int, n long")
+    same = Window.partitionBy("state", "word")
+    told = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1}).where(F.col("total") >= MIN_ENTRY)
+    return materialize(told.select("block", "pos", "total", "first", F.when(F.col("first"), F.col("state")).alias("state"), F.when(F.col("first"), F.col("word")).alias("word")), "next-totals")
+
+
 def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
     got = df.select(*columns).toPandas()
     return [got[c].to_numpy() for c in columns]
 
 
-def learn(blocks: DataFrame, totals: DataFrame) -> Tree:
-    """Builds the tree level by level; the driver gets states and entries only, both bounded by their least share."""
+def _rate(entries: DataFrame, counts: np.ndarray) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tests the states of a level. ``entries`` has state, word, n, root and parent, the word's probabilities without context
+    and one level up; ``counts`` is each state's count. Returns the entries with the state's probability ``p``, written, and
+    what :attr:`Tree.levels` holds."""
+    spark = entries.sparkSession
+    states = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(counts), dtype=np.int32), "occurs": counts.astype(float)}))
+    held = entries.groupBy("state").agg(F.sum("n").cast("double").alias("held"))
+    masses = states.join(held, "state", "left").select("state", (F.col("occurs") - F.coalesce("held", F.lit(0.0)) + BACKOFF).alias("spare"), (F.col("occurs") + BACKOFF).alias("mass"))
+    p = (F.col("n") + F.col("spare") * F.col("parent")) / F.col("mass")
+    rated = materialize(entries.join(masses, "state").select("state", "word", "n", "root", "parent", p.alias("p")), "entries")
+    gained = rated.groupBy("state").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
+    state, spare, mass, gain = _arrays(masses.join(gained, "state", "left").fillna(0.0, ["gain"]), "state", "spare", "mass", "gain")
+    order = np.argsort(state)
+    spare, mass, gain = spare[order], mass[order], gain[order]
+    good = gain + (spare - BACKOFF) * np.log(spare / mass) >= MIN_GAIN * np.maximum(counts, 1)
+    return rated, (spare, mass, good)
+
+
+def learn(blocks: DataFrame, totals: DataFrame) -> tuple[Tree, list[DataFrame]]:
+    """The tree, and for each of its levels the answers of :func:`next_totals`. The driver gets states only."""
+    spark = blocks.sparkSession
     sums = totals.where("first").agg(F.sum("total").alias("n"), F.expr("count_if(total > 0)").alias("v")).first()
     ends = blocks.agg(F.sum(F.expr("size(filter(held, x -> not x))"))).first()[0] or 0
     tree = Tree((sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0), ends)
-    least = max(MIN_CONTEXT, CONTEXT_SHARE * tree.tokens)
-    cut = max(MIN_ENTRY, ENTRY_SHARE * tree.tokens)
-    words = totals.where(F.col("first") & (F.col("total") >= min(cut, least)))
+    least = max(MIN_CONTEXT, math.sqrt(tree.tokens) / CONTEXT_GROWTH)
+    words = totals.where(F.col("first") & (F.col("total") >= MIN_ENTRY))
     single, count = _arrays(words.where(F.col("total") >= least), "word", "total")
     if not len(single):
-        return tree
+        return tree, []
     order = np.argsort(single)
-    tree.singles, total = single[order].astype(np.int64), count[order].astype(float)
-    followers = materialize(count_next(blocks, tree.singles).where(F.col("n") >= cut), "followers")
-    known = words.select(F.col("word").alias("known"), "total").unionByName(blocks.sparkSession.createDataFrame([(END, ends)], "known long, total long"))
-    state, word, n, seen = _arrays(followers.join(known, F.col("word") == F.col("known")), "state", "word", "n", "total")
-    root = tree.root(seen.astype(float))
-    tree.add_level(0, len(tree.singles), state, word.astype(np.int64), n.astype(float), root, total)
-    often = (n >= least) & (word != END)
-    if often.any():
-        keys = _mix(state[often], word[often].astype(np.int64))
-        order = np.argsort(keys)
-        tree.pairs, total = keys[order], n[often][order].astype(float)
-        last = _state_of(tree.singles, word[often].astype(np.int64))[order]
-        next_words = materialize(count_next(blocks, tree.singles, tree.pairs).where(F.col("n") >= cut), "followers")
-        state2, word2, n2, seen2 = _arrays(next_words.join(known, F.col("word") == F.col("known")), "state", "word", "n", "total")
-        parent = tree.step(0, last[state2], word2.astype(np.int64), tree.root(seen2.astype(float)))
-        tree.add_level(1, len(tree.pairs), state2, word2.astype(np.int64), n2.astype(float), parent, total)
-    return tree
-
-
-def score_blocks(blocks: DataFrame, totals: DataFrame, tree: Tree, id_col: str) -> DataFrame:
-    """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    answers = totals.groupBy("block").agg(F.expr("transform(array_sort(collect_list(struct(pos, total))), x -> x.total)").alias("totals"))
+    tree.singles = single[order].astype(np.int64)
+    answers = [next_totals(blocks, tree, 0)]
+    known = words.select("word", F.col("total").alias("seen")).unionByName(spark.createDataFrame([(END, ends)], "word long, seen long"))
+    root = (F.col("seen") + 0.5) / (tree.tokens + 0.5 * (tree.distinct + 1))
+    entries = answers[0].where("first").select("state", "word", F.col("total").alias("n")).join(known, "word")
+    rated, tree.levels[0] = _rate(entries.select("state", "word", "n", root.alias("root"), root.alias("parent")), count[order])
+    state, word, n = _arrays(rated.where((F.col("n") >= least) & (F.col("word") != END)), "state", "word", "n")
+    if not len(state):
+        return tree, answers
+    keys = _mix(state.astype(np.int64), word.astype(np.int64))
+    order = np.argsort(keys)
+    tree.pairs = keys[order]
+    answers.append(next_totals(blocks, tree, 1))
+    # Words behind a pair are words behind its last word: the parent's probability stands among the rated entries.
+    last = _state_of(tree.singles, word.astype(np.int64))[order]
+    above = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(last), dtype=np.int32), "last": last.astype(np.int32), "passed": tree.levels[0][2][last]}))
+    entries = answers[1].where("first").select("state", "word", F.col("total").alias("n")).join(above, "state")
+    parent = F.when(F.col("passed"), F.col("p")).otherwise(F.col("root"))
+    up = rated.select(F.col("state").alias("last"), "word", "root", "p")
+    tree.levels[1] = _rate(entries.join(up, ["last", "word"]).select("state", "word", "n", "root", parent.alias("parent")), n[order])[1]
+    return tree, answers
+
+
+def score_blocks(blocks: DataFrame, totals: DataFrame, tree: Tree, answers: list[DataFrame], id_col: str) -> DataFrame:
+    """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    A block and its answers come to one task as sorted rows, the block first; a worker holds one block at a time.
+    """
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     shared = blocks.sparkSession.sparkContext.broadcast(tree)
 
-    def run(batches):
+    def score(row: dict, told: list) -> pa.RecordBatch:
         tree = shared.value
+        flat, bounds, words = _codes(row)
+        seen = np.zeros(len(words))
+        seen[-1] = tree.ends
+        told = [[np.concatenate(x) for x in zip(*part)] if part else [np.zeros(0, np.int64)] * 2 for part in told]
+        seen[told[0][0]] = told[0][1]
+        p = (tree.root(seen) if tree.tokens else np.ones(len(seen)))[flat]
+        full = p
+        for level, states in enumerate(_contexts(flat, bounds, words, tree.singles, tree.pairs)):
+            keys, at, pair = _asked(states, flat, len(words))
+            totals, after = np.zeros(len(keys)), np.zeros(len(flat))
+            totals[told[level + 1][0]] = told[level + 1][1]
+            after[at] = totals[pair]
+            full = tree.step(level, states, after, full)
+        per_doc = lambda x: np.add.reduceat(x, np.r_[0, bounds[:-1]])
+        columns = [
+            row["ids"],
+            pa.array(row["held"]),
+            pa.array(row["sizes"].astype(np.int64) + 1),
+            pa.array(per_doc((seen[flat] > 0).astype(np.int64))),
+            pa.array(np.full(len(bounds), tree.tokens, np.int64)),
+            pa.array(per_doc(np.log10(p))),
+            pa.array(per_doc(np.log10(full))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches):
+        row, told = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                flat, bounds, words = _codes(row)
-                seen = np.r_[np.array(row["totals"] or [], float), float(tree.ends)]
-                base = tree.root(seen) if tree.tokens else np.ones(len(seen))
-                p = base[flat]
-                starts = np.r_[0, bounds[:-1]]
-                one, two = _contexts(flat, bounds, words, tree.singles, tree.pairs)
-                word = words[flat]
-                full = tree.step(1, two, word, tree.step(0, one, word, p))
-                per_doc = lambda x: np.add.reduceat(x, starts)
-                columns = [
-                    pa.array(row["ids"], id_type),
-                    pa.array(row["held"], pa.bool_()),
-                    pa.array(np.array(row["sizes"], np.int64) + 1),
-                    pa.array(per_doc((seen[flat] > 0).astype(np.int64))),
-                    pa.array(np.full(len(bounds), tree.tokens, np.int64)),
-                    pa.array(per_doc(np.log10(p))),
-                    pa.array(per_doc(np.log10(full))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(blocks.schema["ids"].dataType.elementType)
+            source, pos, total = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            cuts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]).tolist() if len(source) else []
+            for a, b in zip(cuts, [*cuts[1:], len(source)]):
+                if source[a] >= 0:
+                    told[source[a]].append((pos[a:b], total[a:b]))
+                    continue
+                for k in range(a, b):  # blocks without answers may stand side by side
+                    if row:
+                        yield score(row, told)
+                    row, told = next(_rows([pa.RecordBatch.from_struct_array(batch.column(4).slice(k, 1))])), [[], [], []]
+        if row:
+            yield score(row, told)
+
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    joined = blocks.select("block", "ids", "held", "sizes", "codes", "words").join(answers, "block", "left")
-    return joined.mapInArrow(run, schema)
+    whole = F.struct("ids", "held", "sizes", "codes", "words")
+    rows = blocks.select("block", F.lit(-1).alias("source"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("total"), whole.alias("whole"))
+    for i, told in enumerate([totals.where("total > 0"), *answers]):
+        rows = rows.unionByName(told.select("block", F.lit(i).alias("source"), "pos", "total"), allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", "source").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
@@ -292,4 +348,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), held_out(id_col, folds, fold).alias("__held"))
     blocks = cut_blocks(rows, id_col, text_col, "__held")
     totals = word_totals(blocks)
-    return score_blocks(blocks, totals, learn(blocks, totals), id_col)
+    return score_blocks(blocks, totals, *learn(blocks, totals), id_col)
