@@ -33,17 +33,19 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-CONTEXT_GROWTH = 2.0
+CONTEXT_GROWTH = 1.0
 MIN_CONTEXT = 16
 MIN_ENTRY = 2
 MIN_GAIN = 0.02
 #: Bytes of text whose words are counted and looked up together.
 BLOCK_BYTES = 8 << 20
+#: Answers that are packed together.
+PACK_ROWS = 1 << 18
 #: Added to the mass that a state leaves to its parent.
 BACKOFF = 1.0
 END = 0
 
-_BLOCKS = "block string, ids array<{id}>, held array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>"
+_BLOCKS = "block long, ids array<{id}>, held array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>"
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -76,7 +78,7 @@ def cut_blocks(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> Da
             train = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(flat[train], minlength=len(known))
             return pa.RecordBatch.from_pylist(
-                [{"block": f"{part}-{serial}", "ids": ids, "held": held, "sizes": sizes, "codes": zlib.compress(flat.tobytes(), 1), "words": words.tolist(), "counts": counts.tolist()}], schema=arrow
+                [{"block": (part << 32) + serial, "ids": ids, "held": held, "sizes": sizes, "codes": zlib.compress(flat.tobytes(), 1), "words": words.tolist(), "counts": counts.tolist()}], schema=arrow
             )
 
         for batch in batches:
@@ -216,10 +218,10 @@ def next_totals(blocks: DataFrame, tree: Tree, level: int) -> DataFrame:
             n = np.bincount(pair[train[at]], minlength=len(keys))
             for k in range(0, len(keys), 1 << 16):
                 part = keys[k : k + (1 << 16)]
-                columns = [pa.array([row["block"]] * len(part)), (part // len(words)).astype(np.int32), words[part % len(words)], np.arange(k, k + len(part), dtype=np.int32), n[k : k + len(part)].astype(np.int64)]
+                columns = [np.full(len(part), row["block"]), (part // len(words)).astype(np.int32), words[part % len(words)], np.arange(k, k + len(part), dtype=np.int32), n[k : k + len(part)].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "state", "word", "pos", "n"])
 
-    asked = blocks.select("block", "held", "sizes", "codes", "words").mapInArrow(run, "block string, state int, word long, pos int, n long")
+    asked = blocks.select("block", "held", "sizes", "codes", "words").mapInArrow(run, "block long, state int, word long, pos int, n long")
     same = Window.partitionBy("state", "word")
     told = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1}).where(F.col("total") >= MIN_ENTRY)
     return materialize(told.select("block", "pos", "total", "first", F.when(F.col("first"), F.col("state")).alias("state"), F.when(F.col("first"), F.col("word")).alias("word")), "next-totals")
@@ -283,6 +285,41 @@ def learn(blocks: DataFrame, totals: DataFrame) -> tuple[Tree, list[DataFrame]]:
     return tree, answers
 
 
+def pack_answers(told: DataFrame) -> DataFrame:
+    """block, packed: the (pos, total) of ``told``, many to a row; :func:`_unpack` reads them."""
+
+    def run(batches):
+        held, rows = [], 0
+
+        def done():
+            block, pos, total = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((pos, block))
+            block, pos, total = block[order], pos[order], total[order]
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            packed = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
+                raw = pos[a:b].tobytes() + total[a:b].tobytes()
+                packed.append(b"z" + zlib.compress(raw, 1) if b - a >= 32 else b"r" + raw)
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            rows += batch.num_rows
+            if rows >= PACK_ROWS:
+                yield done()
+                held, rows = [], 0
+        if rows:
+            yield done()
+
+    return told.select("block", "pos", "total").mapInArrow(run, "block long, packed binary")
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed[1:]) if packed[:1] == b"z" else packed[1:]
+    n = len(raw) // 12
+    return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, n, 4 * n)
+
+
 def score_blocks(blocks: DataFrame, totals: DataFrame, tree: Tree, answers: list[DataFrame], id_col: str) -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -296,7 +333,7 @@ def score_blocks(blocks: DataFrame, totals: DataFrame, tree: Tree, answers: list
         flat, bounds, words = _codes(row)
         seen = np.zeros(len(words))
         seen[-1] = tree.ends
-        told = [[np.concatenate(x) for x in zip(*part)] if part else [np.zeros(0, np.int64)] * 2 for part in told]
+        told = [[np.concatenate(x) for x in zip(*map(_unpack, part))] if part else [np.zeros(0, np.int64)] * 2 for part in told]
         seen[told[0][0]] = told[0][1]
         p = (tree.root(seen) if tree.tokens else np.ones(len(seen)))[flat]
         full = p
@@ -321,25 +358,23 @@ def score_blocks(blocks: DataFrame, totals: DataFrame, tree: Tree, answers: list
     def run(batches):
         row, told = None, []
         for batch in batches:
-            source, pos, total = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            cuts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]).tolist() if len(source) else []
-            for a, b in zip(cuts, [*cuts[1:], len(source)]):
-                if source[a] >= 0:
-                    told[source[a]].append((pos[a:b], total[a:b]))
+            sources, packed = batch.column(1).to_pylist(), batch.column(2)
+            for k, source in enumerate(sources):
+                if source >= 0:
+                    told[source].append(packed[k].as_py())
                     continue
-                for k in range(a, b):  # blocks without answers may stand side by side
-                    if row:
-                        yield score(row, told)
-                    row, told = next(_rows([pa.RecordBatch.from_struct_array(batch.column(4).slice(k, 1))])), [[], [], []]
+                if row:
+                    yield score(row, told)
+                row, told = next(_rows([pa.RecordBatch.from_struct_array(batch.column(3).slice(k, 1))])), [[], [], []]
         if row:
             yield score(row, told)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     whole = F.struct("ids", "held", "sizes", "codes", "words")
-    rows = blocks.select("block", F.lit(-1).alias("source"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("total"), whole.alias("whole"))
+    rows = blocks.select("block", F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("packed"), whole.alias("whole"))
     for i, told in enumerate([totals.where("total > 0"), *answers]):
-        rows = rows.unionByName(told.select("block", F.lit(i).alias("source"), "pos", "total"), allowMissingColumns=True)
+        rows = rows.unionByName(pack_answers(told).withColumn("source", F.lit(i)), allowMissingColumns=True)
     return rows.repartition("block").sortWithinPartitions("block", "source").mapInArrow(run, schema)
 
 
