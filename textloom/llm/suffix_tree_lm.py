@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -39,11 +39,14 @@ MIN_ENTRY = 2
 MIN_GAIN = 0.02
 #: Bytes of text whose words are counted and looked up together.
 BLOCK_BYTES = 8 << 20
+#: States up to this many are broadcast to their entries; more are joined by shuffling.
+BROADCAST_STATES = 1 << 20
 #: Answers that are packed together.
 PACK_ROWS = 1 << 18
 #: Added to the mass that a state leaves to its parent.
 BACKOFF = 1.0
 END = 0
+_KINDS = {"i": "int", "f": "double", "b": "boolean"}
 
 _BLOCKS = "block long, ids array<{id}>, held array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>"
 
@@ -232,20 +235,29 @@ def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [got[c].to_numpy() for c in columns]
 
 
+def _states(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
+    """state and its ``columns``; with a broadcast hint up to ``BROADCAST_STATES``, so that a frequent state's entries aren't one task's."""
+    table = pd.DataFrame({"state": np.arange(len(next(iter(columns.values()))), dtype=np.int32), **columns})
+    made = spark.createDataFrame(table, schema=", ".join(f"{c} {_KINDS[table[c].dtype.kind]}" for c in table))
+    return F.broadcast(made) if len(table) <= BROADCAST_STATES else made
+
+
 def _rate(entries: DataFrame, counts: np.ndarray) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tests the states of a level. ``entries`` has state, word, n, root and parent, the word's probabilities without context
     and one level up; ``counts`` is each state's count. Returns the entries with the state's probability ``p``, written, and
     what :attr:`Tree.levels` holds."""
-    spark = entries.sparkSession
-    states = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(counts), dtype=np.int32), "occurs": counts.astype(float)}))
-    held = entries.groupBy("state").agg(F.sum("n").cast("double").alias("held"))
-    masses = states.join(held, "state", "left").select("state", (F.col("occurs") - F.coalesce("held", F.lit(0.0)) + BACKOFF).alias("spare"), (F.col("occurs") + BACKOFF).alias("mass"))
+    counts = counts.astype(float)
+    held = np.zeros(len(counts))
+    state, sums = _arrays(entries.groupBy("state").agg(F.sum("n").cast("double").alias("held")), "state", "held")
+    held[state.astype(np.int64)] = sums
+    spare, mass = counts - held + BACKOFF, counts + BACKOFF
+    masses = _states(entries.sparkSession, {"spare": spare, "mass": mass})
     p = (F.col("n") + F.col("spare") * F.col("parent")) / F.col("mass")
     rated = materialize(entries.join(masses, "state").select("state", "word", "n", "root", "parent", p.alias("p")), "entries")
     gained = rated.groupBy("state").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
-    state, spare, mass, gain = _arrays(masses.join(gained, "state", "left").fillna(0.0, ["gain"]), "state", "spare", "mass", "gain")
-    order = np.argsort(state)
-    spare, mass, gain = spare[order], mass[order], gain[order]
+    gain = np.zeros(len(counts))
+    state, sums = _arrays(gained, "state", "gain")
+    gain[state.astype(np.int64)] = sums
     good = gain + (spare - BACKOFF) * np.log(spare / mass) >= MIN_GAIN * np.maximum(counts, 1)
     return rated, (spare, mass, good)
 
@@ -277,7 +289,7 @@ def learn(blocks: DataFrame, totals: DataFrame) -> tuple[Tree, list[DataFrame]]:
     answers.append(next_totals(blocks, tree, 1))
     # Words behind a pair are words behind its last word: the parent's probability stands among the rated entries.
     last = _state_of(tree.singles, word.astype(np.int64))[order]
-    above = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(last), dtype=np.int32), "last": last.astype(np.int32), "passed": tree.levels[0][2][last]}))
+    above = _states(spark, {"last": last.astype(np.int32), "passed": tree.levels[0][2][last]})
     entries = answers[1].where("first").select("state", "word", F.col("total").alias("n")).join(above, "state")
     parent = F.when(F.col("passed"), F.col("p")).otherwise(F.col("root"))
     up = rated.select(F.col("state").alias("last"), "word", "root", "p")
