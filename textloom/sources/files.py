@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sav import read_sav
+
 NESTED = (T.ArrayType, T.StructType, T.MapType)
 
 
@@ -34,9 +36,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_survey(spark: SparkSession, path: str, kind: str = "parquet", **options) -> DataFrame:
-    """A survey table. SPSS files need a reader that isn't part of this engine; convert them to Parquet or CSV first."""
+    """A survey table, from an SPSS file (kind ``sav``) or by one of Spark's readers."""
     if kind == "sav":
-        raise ValueError("no reader for .sav files here: convert to Parquet or CSV")
+        return read_sav(spark, path, **options)
     return spark.read.format(kind).options(**options).load(path)
 
 
