@@ -276,6 +276,16 @@ def test_lm_scores_by_the_tree(spark, sf, monkeypatch):
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
+def test_least_count_of_a_context_is_fixed(spark):
+    """A pair seen 16 times is a state, however many other words the corpus has."""
+    rows = [(i, "alpha beta gamma") for i in range(20)] + [(100 + i, " ".join(f"x{(i * 400 + k) % 20_011}" for k in range(400))) for i in range(300)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit(False).alias("h"))
+    blocks = suffix_tree_lm.cut_blocks(docs, "doc_id", "text", "h")
+    tree, _ = suffix_tree_lm.learn(blocks, suffix_tree_lm.word_totals(blocks))
+    assert tree.tokens > 100_000 and len(tree.singles) == 3
+    assert tree.verdicts[1].count() == 3 and tree.verdicts[0].where("good").count() == 3  # one pair ends in the end token
+
+
 def test_states_follow_the_input(spark):
     """Distributions of the states sum to one, and a larger corpus has more states."""
     rng = np.random.default_rng(3)

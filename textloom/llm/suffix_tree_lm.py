@@ -1,16 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States of the tree are contexts of one or two words that occur at least sqrt(training tokens) / ``CONTEXT_GROWTH`` times in
-training, and which pass a divergence test: the mean gain in log-likelihood of the words that follow, against the context's
-parent (itself without its first word), must be at least ``MIN_GAIN``. A state keeps the counts of all next words seen
-``MIN_ENTRY`` times or more; the rest of its mass goes to the parent's distribution, so each state's distribution sums to
-one. A word is scored by the longest state that is a suffix of the words before it; a root without context gives the
+States of the tree are contexts of one or two words that occur ``MIN_CONTEXT`` times or more in training, whatever the
+size of the corpus, and which pass a divergence test: the mean gain in log-likelihood of the words that follow, against the
+context's parent (itself without its first word), must be at least ``MIN_GAIN``. A state keeps the counts of all next words
+seen ``MIN_ENTRY`` times or more; the rest of its mass goes to the parent's distribution, so each state's distribution sums
+to one. A word is scored by the longest state that is a suffix of the words before it; a root without context gives the
 smoothed word frequencies.
 
-Counts cover all training documents and are summed on the cluster. Neither the vocabulary nor the entries are bounded, and
-neither leaves the cluster: texts are cut into blocks, each block asks for the counts of its own distinct words and of its
-own distinct (state, word) pairs, and one shuffle by what is asked and one back by block answer all blocks. Only the states
-are sent to workers: at each level there are at most ``CONTEXT_GROWTH`` * sqrt(tokens) of them, of 25 bytes each.
+Counts cover all training documents and are summed on the cluster. Vocabulary, states and entries are unbounded, and none
+leaves the cluster: texts are cut into blocks, each block asks for the counts of its own distinct words, then of its own
+(state, word) pairs level by level, and for the verdicts on its own states. What is asked is shuffled by its key, and the
+answers come back to their blocks, packed.
 
 Defined cases: a null text is an empty text, one end token; a null id is in training; repeated rows are trained on and
 scored as often as they occur; with no training documents every token has the probability 1 of an empty model; an empty
@@ -24,17 +24,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import checked_broadcast, materialize
 
-CONTEXT_GROWTH = 1.0
 MIN_CONTEXT = 16
+#: A finite value raises the least count of a context to sqrt(training tokens) / ``CONTEXT_GROWTH``, for small trees.
+CONTEXT_GROWTH = math.inf
 MIN_ENTRY = 2
 MIN_GAIN = 0.02
 #: Bytes of text whose words are counted and looked up together.
@@ -46,7 +46,6 @@ PACK_ROWS = 1 << 18
 #: Added to the mass that a state leaves to its parent.
 BACKOFF = 1.0
 END = 0
-_KINDS = {"i": "int", "f": "double", "b": "boolean"}
 
 _BLOCKS = "block long, ids array<{id}>, held array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>"
 
@@ -110,11 +109,12 @@ def cut_blocks(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> Da
 
 
 def word_totals(blocks: DataFrame) -> DataFrame:
-    """block, pos, total, first, word: the training count of each block's words. ``first`` marks one row of each word, ``word`` stands there only."""
+    """block, pos, total, first, word: the training count of each block's words. ``first`` marks one row of each word; ``word`` stands there, and where it may be a state."""
     asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     same = Window.partitionBy("word")
     told = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1})
-    return materialize(told.select("block", "pos", "total", "first", F.when(F.col("first") & (F.col("total") > 1), F.col("word")).alias("word")), "totals")
+    named = (F.col("first") & (F.col("total") > 1)) | (F.col("total") >= MIN_CONTEXT)
+    return materialize(told.select("block", "pos", "total", "first", F.when(named, F.col("word")).alias("word")), "totals")
 
 
 def _rows(batches) -> Iterator[dict]:
@@ -141,14 +141,6 @@ def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, bounds, words
 
 
-def _state_of(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of ``asked`` in the sorted ``known``, -1 where missing."""
-    if not len(known):
-        return np.full(len(asked), -1)
-    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    return np.where(known[at] == asked, at, -1)
-
-
 def _mix(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     """One 64-bit key of a state and the word behind it."""
     with np.errstate(over="ignore"):
@@ -157,143 +149,158 @@ def _mix(state: np.ndarray, word: np.ndarray) -> np.ndarray:
         return ((z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
-def _contexts(flat: np.ndarray, bounds: np.ndarray, words: np.ndarray, singles: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token, the one-word and the two-word state before it (-1: none). ``pairs`` holds the keys of (single, word)."""
-    one_of_code = _state_of(singles, words)
-    one_of_code[-1] = -1
-    one = np.r_[-1, one_of_code[flat[:-1]]] if len(flat) else np.zeros(0, np.int64)
-    one[bounds[:-1]] = -1
-    two = np.full(len(flat), -1)
-    if len(pairs) and len(flat) > 1:
-        # The pair state before token t is named by the single state before t - 1 and the word t - 1.
-        at = np.flatnonzero((np.r_[-1, one[:-1]] >= 0) & (one >= 0))
-        two[at] = _state_of(pairs, _mix(one[at - 1], words[flat[at - 1]]))
-    return one, two
-
-
 class Tree:
-    """The states of the tree, as sorted arrays; small enough to be sent to every worker."""
+    """What the root needs, and for each level its states and their verdicts, which stay on the cluster."""
 
     def __init__(self, tokens: int, distinct: int, ends: int):
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
-        empty = np.zeros(0, np.int64)
-        self.singles, self.pairs = empty, empty
-        #: For each level, each state's mass left to the parent, its whole mass, and whether it passed the test.
-        self.levels = [(np.zeros(0), np.zeros(0), np.zeros(0, bool))] * 2
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-
-    def step(self, level: int, state: np.ndarray, seen: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Probabilities of words seen ``seen`` times after ``state``; those of the parent where there is no such state or it failed its test."""
-        spare, mass, good = self.levels[level]
-        at = np.flatnonzero(state >= 0)
-        at = at[good[state[at]]] if len(good) else at[:0]
-        out = parent.copy()
-        s = state[at]
-        out[at] = (seen[at] + spare[s] * parent[at]) / mass[s]
-        return out
-
-
-def _asked(state: np.ndarray, flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct (state, word) pairs in order, as state * width + code; the tokens with a state, and the pair of each."""
+        #: The least count of a context.
+        self.least = max(MIN_CONTEXT, math.sqrt(tokens) / CONTEXT_GROWTH)
+        #: For each level: state, count, spare (mass left to the parent), mass, good (passed the test).
+        self.verdicts: list[DataFrame] = []
+        self.words: DataFrame | None = None
+        #: What blocks are told, in the order that :func:`_walk` reads it.
+        self.told: list[DataFrame] = []
+
+    @property
+    def model(self) -> tuple[int, int, int, float]:
+        return self.tokens, self.distinct, self.ends, self.least
+
+    @property
+    def singles(self) -> np.ndarray:
+        """The words that are states, by number; collected, for looking at small trees only."""
+        return self.words.orderBy("state").select("word").toPandas()["word"].to_numpy()
+
+    @property
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level, spare, mass and good in the order of the states; collected, for looking at small trees only."""
+        found = [v.orderBy("state").toPandas() for v in self.verdicts]
+        return [tuple(f[c].to_numpy() for c in ("spare", "mass", "good")) for f in found]
+
+
+def _asked(state: np.ndarray, flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct (state, word) pairs in order, as state * width + code; the tokens with a state, the pair of each, and a token of each pair."""
     at = np.flatnonzero(state >= 0)
-    keys, pair = np.unique(state[at] * width + flat[at], return_inverse=True)
-    return keys, at, pair
-
-
-def next_totals(blocks: DataFrame, tree: Tree, level: int) -> DataFrame:
-    """block, pos, total, first, state, word: how often each block's (state, word) pairs occur in training, if ``MIN_ENTRY`` times or more.
-
-    ``first`` marks one row of each pair; ``state`` and ``word`` stand there only. Training and held-out texts ask alike.
+    keys, some, pair = np.unique(state[at] * width + flat[at], return_index=True, return_inverse=True)
+    return keys, at, pair, at[some]
+
+
+def _spread(parts: list[bytes], n: int, missing: int) -> np.ndarray:
+    """Packed answers by position."""
+    out = np.full(n, missing, np.int64)
+    for pos, total in map(_unpack, parts):
+        out[pos] = total
+    return out
+
+
+def _walk(row: dict, told: list, model: tuple, levels: int) -> tuple:
+    """A block with what it has been told: word totals and the numbers of its single states, then each level's totals and
+    the spare mass of its good states. Returns the words' counts, codes and bounds, the root's probabilities, those of the
+    last of ``levels`` levels, and what the next level asks: state, key and parent's probability of each pair, and tokens and
+    pairs as of :func:`_asked`."""
+    tokens, distinct, ends, least = model
+    flat, bounds, words = _codes(row)
+    width = len(words)
+    seen = _spread(told[0], width, 0)
+    seen[-1] = ends
+    root = ((seen + 0.5) / (tokens + 0.5 * (distinct + 1)) if tokens else np.ones(width))[flat]
+    names, counts = _spread(told[1], width, -1), seen
+    starts = np.r_[0, bounds[:-1]]
+    # The state before a token, as a place in the list of the level's candidates: words at first, then pairs of the level above.
+    state = np.where(names[before := np.r_[0, flat[:-1]]] >= 0, before, -1)
+    state[starts] = -1
+    p = root
+    for level in range(levels + 1):
+        keys, at, pair, some = _asked(state, flat, width)
+        above = names[keys // width]
+        named = _mix(above, words[keys % width])
+        if level == levels:
+            return seen, flat, bounds, root, p, (above, named, p[some], at, pair)
+        totals, spare = _spread(told[2 + 2 * level], len(keys), 0), _spread(told[3 + 2 * level], len(counts), -1)
+        s, parent = state[at], p[at]
+        p = p.copy()
+        p[at] = np.where(spare[s] >= 0, (totals[pair] + (spare[s] + BACKOFF) * parent) / (counts[s] + BACKOFF), parent)
+        here = np.full(len(flat), -1)
+        here[at] = np.where(totals[pair] >= least, pair, -1)
+        state = np.r_[-1, here[:-1]]
+        state[starts] = -1
+        names, counts = named, totals
+
+
+def next_totals(blocks: DataFrame, told: list[DataFrame], tree: Tree, level: int) -> DataFrame:
+    """block, pos, total, first, state, parent, key: how often each block's (state, word) pairs occur in training, if ``MIN_ENTRY`` times or more.
+
+    ``first`` marks one row of each pair; ``state`` and ``parent``, the word's probability one level up, stand there only;
+    ``key`` names the pair where it may be a state itself. Training and held-out texts ask alike.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast((tree.singles, tree.pairs if level else np.zeros(0, np.int64)))
+    model, sources = tree.model, len(told)
 
     def run(batches):
-        singles, pairs = shared.value
-        for row in _rows(batches):
-            flat, bounds, words = _codes(row)
-            if not len(flat):
-                continue
-            states = _contexts(flat, bounds, words, singles, pairs)[level]
-            keys, at, pair = _asked(states, flat, len(words))
+        for row, answers in _read_dealt(batches, sources):
+            _, flat, _, _, _, (state, key, parent, at, pair) = _walk(row, answers, model, level)
             train = np.repeat(~row["held"], row["sizes"].astype(np.int64) + 1)
-            n = np.bincount(pair[train[at]], minlength=len(keys))
-            for k in range(0, len(keys), 1 << 16):
-                part = keys[k : k + (1 << 16)]
-                columns = [np.full(len(part), row["block"]), (part // len(words)).astype(np.int32), words[part % len(words)], np.arange(k, k + len(part), dtype=np.int32), n[k : k + len(part)].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "state", "word", "pos", "n"])
-
-    asked = blocks.select("block", "held", "sizes", "codes", "words").mapInArrow(run, "block long, state int, word long, pos int, n long")
-    same = Window.partitionBy("state", "word")
-    told = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1}).where(F.col("total") >= MIN_ENTRY)
-    return materialize(told.select("block", "pos", "total", "first", F.when(F.col("first"), F.col("state")).alias("state"), F.when(F.col("first"), F.col("word")).alias("word")), "next-totals")
-
-
-def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    got = df.select(*columns).toPandas()
-    return [got[c].to_numpy() for c in columns]
-
-
-def _states(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
-    """state and its ``columns``; with a broadcast hint up to ``BROADCAST_STATES``, so that a frequent state's entries aren't one task's."""
-    table = pd.DataFrame({"state": np.arange(len(next(iter(columns.values()))), dtype=np.int32), **columns})
-    made = spark.createDataFrame(table, schema=", ".join(f"{c} {_KINDS[table[c].dtype.kind]}" for c in table))
-    return F.broadcast(made) if len(table) <= BROADCAST_STATES else made
-
-
-def _rate(entries: DataFrame, counts: np.ndarray) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tests the states of a level. ``entries`` has state, word, n, root and parent, the word's probabilities without context
-    and one level up; ``counts`` is each state's count. Returns the entries with the state's probability ``p``, written, and
-    what :attr:`Tree.levels` holds."""
-    counts = counts.astype(float)
-    held = np.zeros(len(counts))
-    state, sums = _arrays(entries.groupBy("state").agg(F.sum("n").cast("double").alias("held")), "state", "held")
-    held[state.astype(np.int64)] = sums
-    spare, mass = counts - held + BACKOFF, counts + BACKOFF
-    masses = _states(entries.sparkSession, {"spare": spare, "mass": mass})
+            n = np.bincount(pair[train[at]], minlength=len(key))
+            for k in range(0, len(key), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                columns = [np.full(len(key[part]), row["block"]), np.arange(k, k + len(key[part]), dtype=np.int32), state[part], key[part], n[part].astype(np.int64), parent[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "pos", "state", "key", "n", "parent"])
+
+    asked = _dealt(blocks, ["block", "held", "sizes", "codes", "words"], told).mapInArrow(run, "block long, pos int, state long, key long, n long, parent double")
+    same = Window.partitionBy("key")
+    answers = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1}).where(F.col("total") >= MIN_ENTRY)
+    once = [F.when(F.col("first"), F.col(c)).alias(c) for c in ("state", "parent")]
+    key = F.when((F.col("total") >= tree.least) & (level == 0), F.col("key")).alias("key")
+    return materialize(answers.select("block", "pos", "total", "first", *once, key), "next-totals")
+
+
+def _numbered(states: DataFrame) -> DataFrame:
+    """``states`` with a number from 0 in each row, without bringing the rows to one task."""
+    part = F.spark_partition_id()
+    rows = materialize(states.withColumns({"part": part, "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
+    starts = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
+    offsets = states.sparkSession.createDataFrame(starts, "part int, start long")
+    return rows.join(F.broadcast(offsets), "part").withColumn("state", F.col("start") + F.col("at")).drop("part", "at", "start")
+
+
+def _rate(entries: DataFrame, states: DataFrame) -> DataFrame:
+    """Tests the states of a level. ``entries`` has state, n and parent, the word's probability one level up, once for each
+    pair; ``states`` has state and count. Returns what :attr:`Tree.verdicts` holds, written."""
+    held = entries.groupBy("state").agg(F.sum("n").alias("held"))
+    spare = F.col("count") - F.coalesce("held", F.lit(0)) + BACKOFF
+    masses = materialize(states.join(held, "state", "left").select("state", "count", spare.alias("spare"), (F.col("count") + BACKOFF).alias("mass")), "masses")
     p = (F.col("n") + F.col("spare") * F.col("parent")) / F.col("mass")
-    rated = materialize(entries.join(masses, "state").select("state", "word", "n", "root", "parent", p.alias("p")), "entries")
-    gained = rated.groupBy("state").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
-    gain = np.zeros(len(counts))
-    state, sums = _arrays(gained, "state", "gain")
-    gain[state.astype(np.int64)] = sums
-    good = gain + (spare - BACKOFF) * np.log(spare / mass) >= MIN_GAIN * np.maximum(counts, 1)
-    return rated, (spare, mass, good)
+    known = checked_broadcast(masses.select("state", "spare", "mass"), BROADCAST_STATES)
+    gains = entries.join(known, "state").groupBy("state").agg(F.sum(F.col("n") * F.log(p / F.col("parent"))).alias("gain"))
+    gain = F.coalesce("gain", F.lit(0.0)) + (F.col("spare") - BACKOFF) * F.log(F.col("spare") / F.col("mass"))
+    good = gain >= MIN_GAIN * F.greatest("count", F.lit(1))
+    return materialize(masses.join(gains, "state", "left").select("state", "count", "spare", "mass", good.alias("good")), "verdicts")
+
+
+def _spares(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """block, pos, total: the spare mass, less ``BACKOFF``, of each good state that ``asked`` (block, pos, state) names."""
+    good = verdicts.where("good").select("state", (F.col("spare") - BACKOFF).cast("long").alias("total"))
+    return asked.join(good, "state").select("block", "pos", "total")
 
 
 def learn(blocks: DataFrame, totals: DataFrame) -> tuple[Tree, list[DataFrame]]:
-    """The tree, and for each of its levels the answers of :func:`next_totals`. The driver gets states only."""
-    spark = blocks.sparkSession
+    """The tree, and for each of its levels the answers of :func:`next_totals`. The driver gets sums only."""
     sums = totals.where("first").agg(F.sum("total").alias("n"), F.expr("count_if(total > 0)").alias("v")).first()
     ends = blocks.agg(F.sum(F.expr("size(filter(held, x -> not x))"))).first()[0] or 0
     tree = Tree((sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0), ends)
-    least = max(MIN_CONTEXT, math.sqrt(tree.tokens) / CONTEXT_GROWTH)
-    words = totals.where(F.col("first") & (F.col("total") >= MIN_ENTRY))
-    single, count = _arrays(words.where(F.col("total") >= least), "word", "total")
-    if not len(single):
-        return tree, []
-    order = np.argsort(single)
-    tree.singles = single[order].astype(np.int64)
-    answers = [next_totals(blocks, tree, 0)]
-    known = words.select("word", F.col("total").alias("seen")).unionByName(spark.createDataFrame([(END, ends)], "word long, seen long"))
-    root = (F.col("seen") + 0.5) / (tree.tokens + 0.5 * (tree.distinct + 1))
-    entries = answers[0].where("first").select("state", "word", F.col("total").alias("n")).join(known, "word")
-    rated, tree.levels[0] = _rate(entries.select("state", "word", "n", root.alias("root"), root.alias("parent")), count[order])
-    state, word, n = _arrays(rated.where((F.col("n") >= least) & (F.col("word") != END)), "state", "word", "n")
-    if not len(state):
-        return tree, answers
-    keys = _mix(state.astype(np.int64), word.astype(np.int64))
-    order = np.argsort(keys)
-    tree.pairs = keys[order]
-    answers.append(next_totals(blocks, tree, 1))
-    # Words behind a pair are words behind its last word: the parent's probability stands among the rated entries.
-    last = _state_of(tree.singles, word.astype(np.int64))[order]
-    above = _states(spark, {"last": last.astype(np.int32), "passed": tree.levels[0][2][last]})
-    entries = answers[1].where("first").select("state", "word", F.col("total").alias("n")).join(above, "state")
-    parent = F.when(F.col("passed"), F.col("p")).otherwise(F.col("root"))
-    up = rated.select(F.col("state").alias("last"), "word", "root", "p")
-    tree.levels[1] = _rate(entries.join(up, ["last", "word"]).select("state", "word", "n", "root", parent.alias("parent")), n[order])[1]
+    often = totals.where(F.col("total") >= tree.least)
+    tree.words = materialize(_numbered(often.where("first").select("word", F.col("total").alias("count"))), "singles")
+    numbers = materialize(often.join(tree.words, "word").select("block", "pos", "state"), "numbers")
+    tree.told = [totals.where("total > 0"), numbers.withColumnRenamed("state", "total")]
+    states, asked, answers = tree.words.select("state", "count"), numbers, []
+    for level in range(2):
+        found = next_totals(blocks, tree.told, tree, level)
+        entries = found.where("first").select("state", F.col("total").alias("n"), "parent")
+        tree.verdicts.append(_rate(entries, states))
+        tree.told += [found, materialize(_spares(asked, tree.verdicts[-1]), "spares")]
+        answers.append(found)
+        named = found.where("key is not null")
+        states, asked = named.where("first").select(F.col("key").alias("state"), F.col("total").alias("count")), named.select("block", "pos", F.col("key").alias("state"))
     return tree, answers
 
 
@@ -332,67 +339,58 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, n, 4 * n)
 
 
-def score_blocks(blocks: DataFrame, totals: DataFrame, tree: Tree, answers: list[DataFrame], id_col: str) -> DataFrame:
-    """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def _dealt(blocks: DataFrame, columns: list[str], told: list[DataFrame]) -> DataFrame:
+    """A block's ``columns`` and its answers of each of ``told``, in one task as sorted rows, the block first; for :func:`_read_dealt`."""
+    rows = blocks.select("block", F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("packed"), F.struct(*columns).alias("whole"))
+    for i, answers in enumerate(told):
+        rows = rows.unionByName(pack_answers(answers).withColumn("source", F.lit(i)), allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", "source")
 
-    A block and its answers come to one task as sorted rows, the block first; a worker holds one block at a time.
-    """
+
+def _read_dealt(batches: Iterator[pa.RecordBatch], sources: int) -> Iterator[tuple[dict, list]]:
+    """Each block and its packed answers by source; holds one block at a time."""
+    row, told = None, []
+    for batch in batches:
+        packed = batch.column(2)
+        for k, source in enumerate(batch.column(1).to_pylist()):
+            if source >= 0:
+                told[source].append(packed[k].as_py())
+                continue
+            if row:
+                yield row, told
+            row, told = next(_rows([pa.RecordBatch.from_struct_array(batch.column(3).slice(k, 1))])), [[] for _ in range(sources)]
+    if row:
+        yield row, told
+
+
+def score_blocks(blocks: DataFrame, tree: Tree, id_col: str) -> DataFrame:
+    """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    shared = blocks.sparkSession.sparkContext.broadcast(tree)
-
-    def score(row: dict, told: list) -> pa.RecordBatch:
-        tree = shared.value
-        flat, bounds, words = _codes(row)
-        seen = np.zeros(len(words))
-        seen[-1] = tree.ends
-        told = [[np.concatenate(x) for x in zip(*map(_unpack, part))] if part else [np.zeros(0, np.int64)] * 2 for part in told]
-        seen[told[0][0]] = told[0][1]
-        p = (tree.root(seen) if tree.tokens else np.ones(len(seen)))[flat]
-        full = p
-        for level, states in enumerate(_contexts(flat, bounds, words, tree.singles, tree.pairs)):
-            keys, at, pair = _asked(states, flat, len(words))
-            totals, after = np.zeros(len(keys)), np.zeros(len(flat))
-            totals[told[level + 1][0]] = told[level + 1][1]
-            after[at] = totals[pair]
-            full = tree.step(level, states, after, full)
-        per_doc = lambda x: np.add.reduceat(x, np.r_[0, bounds[:-1]])
-        columns = [
-            row["ids"],
-            pa.array(row["held"]),
-            pa.array(row["sizes"].astype(np.int64) + 1),
-            pa.array(per_doc((seen[flat] > 0).astype(np.int64))),
-            pa.array(np.full(len(bounds), tree.tokens, np.int64)),
-            pa.array(per_doc(np.log10(p))),
-            pa.array(per_doc(np.log10(full))),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    model, sources = tree.model, len(tree.told)
 
     def run(batches):
-        row, told = None, []
-        for batch in batches:
-            sources, packed = batch.column(1).to_pylist(), batch.column(2)
-            for k, source in enumerate(sources):
-                if source >= 0:
-                    told[source].append(packed[k].as_py())
-                    continue
-                if row:
-                    yield score(row, told)
-                row, told = next(_rows([pa.RecordBatch.from_struct_array(batch.column(3).slice(k, 1))])), [[], [], []]
-        if row:
-            yield score(row, told)
+        for row, told in _read_dealt(batches, sources):
+            seen, flat, bounds, p, full, _ = _walk(row, told, model, 2)
+            per_doc = lambda x: np.add.reduceat(x, np.r_[0, bounds[:-1]])
+            columns = [
+                row["ids"],
+                pa.array(row["held"]),
+                pa.array(row["sizes"].astype(np.int64) + 1),
+                pa.array(per_doc((seen[flat] > 0).astype(np.int64))),
+                pa.array(np.full(len(bounds), model[0], np.int64)),
+                pa.array(per_doc(np.log10(p))),
+                pa.array(per_doc(np.log10(full))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    whole = F.struct("ids", "held", "sizes", "codes", "words")
-    rows = blocks.select("block", F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("packed"), whole.alias("whole"))
-    for i, told in enumerate([totals.where("total > 0"), *answers]):
-        rows = rows.unionByName(pack_answers(told).withColumn("source", F.lit(i)), allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", "source").mapInArrow(run, schema)
+    return _dealt(blocks, ["ids", "held", "sizes", "codes", "words"], tree.told).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
     """Learns from the documents outside ``fold`` and scores all of them."""
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), held_out(id_col, folds, fold).alias("__held"))
     blocks = cut_blocks(rows, id_col, text_col, "__held")
-    totals = word_totals(blocks)
-    return score_blocks(blocks, totals, *learn(blocks, totals), id_col)
+    tree, _ = learn(blocks, word_totals(blocks))
+    return score_blocks(blocks, tree, id_col)
