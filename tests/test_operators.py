@@ -200,3 +200,23 @@ def test_retrying_and_padding(spark):
     assert providers.retrying(shaky, sleep=lambda s: None)() == 7
     words = spark.createDataFrame([(0, 1, "a", 2.0)], "topic long, rank long, term string, score double")
     assert [(r["term"], r["score"]) for r in tuners.padded(words, words, 2).orderBy("rank").collect()] == [("a", 2.0), ("", 0.00001)]
+
+
+def test_every_word_with_a_vector_counts(spark, tmp_path):
+    """Words beyond the 500 most frequent have vectors too, where embeddings has more rows."""
+    from textloom.queries.vectors import word_vector_mean
+
+    words = [f"w{k:04d}" for k in range(650)]
+    texts = [(0, " ".join(words)), (1, " ".join(words[:500])), (2, words[600] + " " + words[610] + " " + words[610]), (3, words[649])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [float(k), 1.0], 0) for k in range(640)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    counts = {w: sum(t.split().count(w) for _, t in texts) for w in words}
+    rank = {w: k for k, w in enumerate(sorted(words, key=lambda w: (-counts[w], w)))}
+    want = {}
+    for d, t in texts:
+        found = [rank[w] for w in t.split() if rank[w] < 640]
+        if found:
+            want[d] = round(sum(found) / len(found), 6)
+    assert set(want) >= {0, 1, 2}
+    got = {r["doc_id"]: r["value"] for r in word_vector_mean(spark, str(tmp_path)).where("i = 0").collect()}
+    assert got == pytest.approx(want)

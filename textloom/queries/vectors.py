@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..operators import clusters, pairwise, similarity
-from ..plans.tables import small, table
+from ..plans.tables import ranked, small, table
 from ._register import query
 
 D = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -102,11 +102,12 @@ def combine_embeddings(spark, sf_dir):
 def word_vector_mean(spark, sf_dir):
     from ..functions import tokens as tk
 
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tk.tokens(F.col("text"))).alias("term"))
-    common = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(500)
-    known = common.withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("n"), "term")).cast("long") - 1).select("term", "vec_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    taken = lambda d: d.select("doc_id", F.explode(tk.tokens(F.col("text"))).alias("term"))
+    words, dealt = taken(docs), taken(docs.repartition("doc_id"))  # a document's sums stay in one task
+    known = ranked(words.groupBy("term").agg(F.count(F.lit(1)).alias("n")), F.desc("n"), "term", name="vec_id").select("term", "vec_id")
     vectors = known.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e")), "vec_id").select("term", "e")
-    counted = words.join(small(vectors), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.any_value("e").alias("e"))
+    counted = dealt.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).join(small(vectors), "term")
     means = v.mean_vectors(counted, "doc_id", "e", "n").select("doc_id", F.posexplode("vector").alias("i", "x"))
     return means.select("doc_id", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
