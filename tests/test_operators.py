@@ -220,3 +220,23 @@ def test_every_word_with_a_vector_counts(spark, tmp_path):
     assert set(want) >= {0, 1, 2}
     got = {r["doc_id"]: r["value"] for r in word_vector_mean(spark, str(tmp_path)).where("i = 0").collect()}
     assert got == pytest.approx(want)
+
+
+def test_density_clusters_of_many_rows_use_all_rows(spark, monkeypatch):
+    """Block against block gives what one process gives, and a small cluster isn't lost among many rows."""
+    monkeypatch.setattr(pairwise, "BLOCK_ROWS", 150)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.3, (300, 2)), rng.normal(9, 0.3, (280, 2)), rng.normal((0, 9), 0.1, (12, 2)), rng.uniform(-40, 40, (40, 2))])
+    rows = spark.createDataFrame([(1000 + i, p.tolist()) for i, p in enumerate(x)], "id long, vector array<double>")
+    got = {r["id"]: r["cluster"] for r in clusters.density_clusters(rows, min_size=10, fit_points=100).collect()}
+    labels = [got[1000 + i] for i in range(len(x))]
+    want = clusters.density_labels(x, 10).tolist()
+    # Where a point ties between two clusters either may have it.
+    assert len(set(labels)) == len(set(want)) and sum(a != b for a, b in zip(labels, want)) <= 3
+    assert len({labels[i] for i in range(580, 592)} - {-1, labels[0], labels[300]}) == 1
+    numbered = rows.select((F.col("id") - 1000).alias("id"), F.col("vector").alias("v"))
+    far = np.linalg.norm(x[:, None] - x[None], axis=2)
+    core = np.sort(far, axis=1)[:, 10]
+    a, b = np.triu_indices(len(x), 1)
+    d = np.maximum(far, np.maximum(core[:, None], core))[a, b]
+    assert sorted(clusters._spanning_edges(numbered, 10, len(x))["d"]) == pytest.approx(sorted(d[clusters._forest(a, b, d)]), abs=1e-6)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..plans.tables import small
-from . import similarity
+from ..plans.tables import cut, ranked, small
+from . import pairwise, similarity
 
 NOISE = -1
-#: Points that a density clustering is fitted on; the rest are assigned to the nearest fitted cluster.
+#: Points of which a density clustering is fitted in one process; of more, distances are taken block against block on the cluster.
 FIT_POINTS = 8000
 
 
@@ -61,7 +61,12 @@ def density_labels(points: np.ndarray, min_size: int = 10, min_samples: int | No
         best[closer], source[closer] = reach[closer], at
         at = int(np.argmin(np.where(done, np.inf, best)))
         edges.append((best[at], source[at], at))
-    edges.sort(key=lambda e: e[0])
+    return _labels_of_tree(n, edges, min_size)
+
+
+def _labels_of_tree(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
+    """Labels from the (length, point, point) of a spanning tree."""
+    edges = sorted(edges, key=lambda e: e[0])
     parent, size, node = list(range(2 * n - 1)), [1] * (2 * n - 1), n
     kids: dict[int, tuple[int, int, float]] = {}
 
@@ -137,34 +142,101 @@ def density_labels(points: np.ndarray, min_size: int = 10, min_samples: int | No
     return labels
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    far = x @ y.T
+    far *= -2
+    far += (x**2).sum(axis=1)[:, None]
+    far += (y**2).sum(axis=1)
+    return np.sqrt(np.maximum(far, 0, out=far), out=far)
+
+
+def _core_distances(rows: DataFrame, k: int, blocks: int) -> DataFrame:
+    """id, core: the distance of each row to its ``k``-th neighbour among all rows."""
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "near": []})
+        far = _distances(np.stack(a["v"]), np.stack(b["v"]))
+        far[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = 0.0
+        m = min(k, far.shape[1] - 1)
+        return pd.DataFrame({"id": a["id"].to_numpy(), "near": list(np.partition(far, m, axis=1)[:, : m + 1])})
+
+    parts = pairwise._pairs(rows, blocks, "id", True).groupBy("i", "j").applyInPandas(nearest, "id long, near array<double>")
+    return parts.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near")))[k].alias("core"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the edges of a smallest spanning forest (Kruskal's)."""
+    names, ends = np.unique(np.r_[a, b], return_inverse=True)
+    ends = ends.reshape(2, -1)
+    parent, kept = list(range(len(names))), []
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for e in np.lexsort((b, a, d)).tolist():
+        x, y = top(int(ends[0, e])), top(int(ends[1, e]))
+        if x != y:
+            parent[x] = y
+            kept.append(e)
+    return np.array(kept, int)
+
+
+def _spanning_edges(rows: DataFrame, k: int, n: int) -> pd.DataFrame:
+    """a, b, d: a smallest spanning tree of all rows by mutual reachability. An edge that no tree of two blocks needs isn't needed by that of all."""
+    blocks = max(1, -(-n // pairwise.BLOCK_ROWS))
+    cored = cut(rows.join(_core_distances(rows, k, blocks), "id"))
+
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, core = pdf["id"].to_numpy(), pdf["core"].to_numpy()
+        x = np.stack(pdf["v"])
+        far = _distances(x, x)
+        np.maximum(far, core, out=far)
+        np.maximum(far, core[:, None], out=far)
+        best, source, at, edges = np.full(len(x), np.inf), np.zeros(len(x), int), 0, []
+        done = np.zeros(len(x), bool)
+        for _ in range(len(x) - 1):
+            done[at] = True
+            closer = far[at] < best
+            best[closer], source[closer] = far[at][closer], at
+            at = int(np.argmin(np.where(done, np.inf, best)))
+            edges.append((ids[source[at]], ids[at], best[at]))
+        return pd.DataFrame(edges, columns=["a", "b", "d"])
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[["a", "b", "d"]]
+        return pdf.iloc[_forest(*(pdf[c].to_numpy() for c in "abd"))]
+
+    edges = cut(pairwise._pairs(cored, blocks, "id", False).groupBy("i", "j").applyInPandas(span, "a long, b long, d double"))
+    while (m := edges.count()) > 4 * n:
+        groups = -(-m // (4 * n))
+        edges = cut(edges.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInPandas(thin, "a long, b long, d double"))
+    return thin(edges.toPandas())
+
+
 def density_clusters(rows: DataFrame, key: str = "id", vector: str = "vector", min_size: int = 10, fit_points: int = FIT_POINTS) -> DataFrame:
-    """key, cluster: density clusters fitted on at most about ``fit_points`` rows (all, where there are fewer); rows outside the fit take the nearest cluster's label if they lie within its spread, else noise."""
+    """key, cluster: density clusters of all rows. Up to ``fit_points`` rows are clustered in one process; of more, core
+    distances and the spanning tree are made block against block on the cluster, and the driver gets the tree's edges."""
     spark = rows.sparkSession
     total = rows.count()
-    fit = rows if total <= fit_points else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(fit_points / total * (1 << 20)))
-    pdf = fit.select(key, v.doubles(F.col(vector)).alias("v")).toPandas().sort_values(key)
-    if pdf.empty:
-        return rows.select(key, F.lit(NOISE).alias("cluster"))
-    points = np.stack(pdf["v"])
-    pdf["cluster"] = density_labels(points, min_size)
+    rows = rows.select(key, v.doubles(F.col(vector)).alias("v"))
     if total <= fit_points:
+        pdf = rows.toPandas().sort_values(key)
+        if pdf.empty:
+            return rows.select(key, F.lit(NOISE).alias("cluster"))
+        pdf["cluster"] = density_labels(np.stack(pdf["v"]), min_size)
         return spark.createDataFrame(pdf[[key, "cluster"]])
-    found = sorted(set(pdf["cluster"]) - {NOISE})
-    centers = np.array([points[pdf["cluster"] == c].mean(axis=0) for c in found]).reshape(len(found), points.shape[1])
-    spread = np.array([np.linalg.norm(points[pdf["cluster"] == c] - centers[i], axis=1).max() for i, c in enumerate(found)])
-
-    def assign(frames):
-        for f in frames:
-            if len(f) and len(found):
-                far = np.linalg.norm(np.stack(f["v"])[:, None] - centers[None], axis=2)
-                best = far.argmin(axis=1)
-                f["cluster"] = np.where(far[range(len(f)), best] <= spread[best], np.array(found)[best], NOISE)
-            else:
-                f["cluster"] = NOISE
-            yield f[[key, "cluster"]]
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, v.doubles(F.col(vector)).alias("v")).mapInPandas(assign, f"{key} {kind}, cluster long")
+    if total < 2 * min_size:
+        return rows.select(key, F.lit(NOISE).cast("long").alias("cluster"))
+    numbered = cut(ranked(rows, key, name="__id"))
+    tree = _spanning_edges(numbered.select(F.col("__id").alias("id"), "v"), min(min_size, total - 1), total)
+    labels = _labels_of_tree(total, list(zip(tree["d"].tolist(), tree["a"].tolist(), tree["b"].tolist())), min_size)
+    found = spark.createDataFrame(pd.DataFrame({"__id": np.arange(total), "cluster": labels.astype(np.int64)}))
+    return numbered.select(key, "__id").join(found, "__id").select(key, "cluster")
 
 
 def rescue_by_similarity(rows: DataFrame, cluster: str = "cluster", vector: str = "vector", threshold: float = 0.7) -> DataFrame:
