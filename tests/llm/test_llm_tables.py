@@ -220,89 +220,88 @@ def test_lm(spark, odd, none):
     assert suffix_tree_lm.score_documents(none).count() == 0
 
 
-def _suffix_tree_scores(texts):
-    """Each text's score by dictionaries: the tree's definition, word by word."""
+def _suffix_tree_scores(texts, depth, least, entry, cut):
+    """Scores by dictionaries of n-grams, and the states' numbers by length."""
     m = suffix_tree_lm
-    split = lambda t: [*(t or "").encode().lower().split(), 0]
-    train = [split(t) for d, t in texts if zlib.crc32(str(d).encode()) % 5 != 1]
-    words = Counter(w for t in train for w in t)
-    n = sum(words.values())
-    root = lambda w: (words[w] + 0.5) / (n + 0.5 * (len(words) + 1))
-    least = max(m.MIN_CONTEXT, math.sqrt(n) / m.CONTEXT_GROWTH)
-    one = Counter((t[i - 1], t[i]) for t in train for i in range(1, len(t)))
-    two = Counter((t[i - 2], t[i - 1], t[i]) for t in train for i in range(2, len(t)))
-    singles = {w: c for w, c in words.items() if c >= least and w != 0}
-    pairs = {k: c for k, c in one.items() if k[0] in singles and k[1] in singles and c >= least}
-
-    def rate(states, grams, parent):
-        kept, passed = {}, {}
-        for g, c in grams.items():
-            if g[:-1] in states and c >= m.MIN_ENTRY:
-                kept.setdefault(g[:-1], {})[g[-1]] = c
-        for s, occurs in states.items():
-            held = sum(kept.get(s, {}).values())
-            spare, mass = occurs - held + m.BACKOFF, occurs + m.BACKOFF
-            gain = sum(c * math.log((c + spare * parent(s, w)) / mass / parent(s, w)) for w, c in kept.get(s, {}).items())
-            if gain + (spare - m.BACKOFF) * math.log(spare / mass) >= m.MIN_GAIN * occurs:
-                passed[s] = (kept.get(s, {}), spare, mass)
-        return passed
-
-    level1 = rate({(w,): c for w, c in singles.items()}, one, lambda s, w: root(w))
-    blend = lambda level, s, w, p: (level[s][0].get(w, 0) + level[s][1] * p) / level[s][2] if s in level else p
-    level2 = rate(pairs, two, lambda s, w: blend(level1, s[1:], w, root(w)))
-    scores = {}
-    for d, t in texts:
-        t = split(t)
-        total = 0.0
-        for i, w in enumerate(t):
-            p = root(w)
-            if i:
-                p = blend(level1, (t[i - 1],), w, p)
-            if i > 1:
-                p = blend(level2, (t[i - 2], t[i - 1]), w, p)
-            total += math.log10(p)
-        scores[d] = total
-    return scores, len(level1), len(level2)
-
-
-def test_lm_scores_by_the_tree(spark, sf, monkeypatch):
-    """Whole texts against dictionaries, in several blocks that share words and pairs; more states than usual, for a small table."""
-    monkeypatch.setattr(suffix_tree_lm, "CONTEXT_GROWTH", 8.0)
+    grams, docs = [Counter() for _ in range(depth + 2)], []
+    for i, text in texts:
+        w = [*(text or "").encode().lower().split(), None]
+        docs.append((i, w))
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for k in range(len(w)):
+                for n in range(1, min(depth + 1, k + 1) + 1):
+                    grams[n][tuple(w[k + 1 - n : k + 1])] += 1
+    total, distinct = sum(grams[1].values()), len(grams[1])
+    follow = {}
+    for n in range(2, depth + 2):
+        for g, c in grams[n].items():
+            if c >= entry:
+                follow.setdefault(g[:-1], {})[g[-1]] = c
+    states = {}
+
+    def prob(before, w, most):
+        p = (grams[1][(w,)] + 0.5) / (total + 0.5 * (distinct + 1)) if total else 1.0
+        for k in range(1, min(most, len(before)) + 1):
+            if (s := before[len(before) - k :]) in states:
+                spare, c = states[s]
+                p = (follow[s].get(w, 0) + (spare + m.BACKOFF) * p) / (c + m.BACKOFF)
+        return p
+
+    for n in range(1, depth + 1):
+        new = {}
+        for g, c in grams[n].items():
+            if c >= least and g in follow:
+                known = mass = held = 0.0
+                for w, t in follow[g].items():
+                    q = -round(-m.GRAIN * math.log(prob(g, w, n - 1))) / m.GRAIN
+                    known, mass, held = known + t * (math.log(t / c) - q), mass + math.exp(q), held + t
+                rest = c - held
+                if known + (rest * math.log(rest / c / max(1 - mass, 1e-12)) if rest else 0) >= cut:
+                    new[g] = (rest, c)
+        states.update(new)
+    scores = {i: sum(math.log10(prob(tuple(w[max(0, k - depth) : k]), w[k], depth)) for k in range(len(w))) for i, w in docs}
+    return scores, Counter(map(len, states)), states, follow
+
+
+@pytest.mark.parametrize("rules", [(4, 2, 2, 4.0, 1 << 24), (3, 3, 2, 1.0, 40), (1, 2, 2, 9.0, 1 << 24)])
+def test_lm_scores_by_the_tree(spark, sf, rules):
+    """Whole texts against dictionaries, in many blocks that share words and pairs; with contexts dealt to several parts, too."""
+    depth, least, entry, cut, hot = rules
     docs = read_table(prepare(spark), sf, "documents")
-    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    want, ones, twos = _suffix_tree_scores(texts)
-    assert ones > 20 and twos > 5
-    for r in suffix_tree_lm.score_documents(docs.repartition(7)).collect():
+    want, sizes, _, _ = _suffix_tree_scores([tuple(r) for r in docs.select("doc_id", "text").collect()], depth, least, entry, cut)
+    assert set(sizes) == set(range(1, depth + 1))
+    blocks = suffix_tree_lm.cut_blocks(docs.repartition(3).select("doc_id", "text", suffix_tree_lm.held_out("doc_id", 5, 1).alias("h")), "doc_id", "text", "h", 40_000)
+    tree = suffix_tree_lm.learn(blocks, depth, least, entry, cut, hot)
+    assert blocks.table.count() > 6 and (any(len(x) for x, _ in tree.hot) == (hot == 40))
+    for r in suffix_tree_lm.score_blocks(blocks, tree, "doc_id").collect():
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
 def test_least_count_of_a_context_is_fixed(spark):
-    """A pair seen 16 times is a state, however many other words the corpus has."""
-    rows = [(i, "alpha beta gamma") for i in range(20)] + [(100 + i, " ".join(f"x{(i * 400 + k) % 20_011}" for k in range(400))) for i in range(300)]
-    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit(False).alias("h"))
-    blocks = suffix_tree_lm.cut_blocks(docs, "doc_id", "text", "h")
-    tree, _ = suffix_tree_lm.learn(blocks, suffix_tree_lm.word_totals(blocks))
-    assert tree.tokens > 100_000 and len(tree.singles) == 3
-    assert tree.verdicts[1].count() == 3 and tree.verdicts[0].where("good").count() == 3  # one pair ends in the end token
-
-
-def test_states_follow_the_input(spark):
-    """Distributions of the states sum to one, and a larger corpus has more states."""
-    rng = np.random.default_rng(3)
-    found = []
-    for size in (400, 3200):
-        rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 60) if k < 5000)) for i in range(size)]
-        docs = prepare(spark).createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit(False).alias("h"))
-        blocks = suffix_tree_lm.cut_blocks(docs, "doc_id", "text", "h")
-        totals = suffix_tree_lm.word_totals(blocks)
-        tree, answers = suffix_tree_lm.learn(blocks, totals)
-        found.append(len(tree.singles))
-        held = {r["state"]: r["n"] for r in answers[0].where("first").groupBy("state").agg(F.sum("total").alias("n")).collect()}
-        spare, mass, _ = tree.levels[0]
-        assert all(held.get(s, 0) + spare[s] == pytest.approx(mass[s]) for s in range(len(mass)))
+    """What follows a pair seen twice is told from chance, however many other words the corpus has."""
+    for others in (10, 300):
+        rows = [(i, f"alpha beta gamma u{i} v{i}") for i in (0, 2)] + [(100 + i, " ".join(f"x{(i * 400 + k) % 20_011}" for k in range(400))) for i in range(others)]
+        docs = prepare(spark).createDataFrame([*rows, (5, "alpha beta gamma"), (6, "beta alpha gamma")], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(docs).collect()}
+        assert got[5]["base_score"] == got[6]["base_score"] and got[5]["score"] > got[6]["score"] + 1
+
+
+def test_states_follow_the_input_and_sum_to_one(spark):
+    rng, found = np.random.default_rng(3), []
+    for size in (200, 800):
+        texts = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 60) if k < 5000)) for i in range(size)]
+        _, sizes, states, follow = _suffix_tree_scores(texts, 2, 2, 2, 4.0)
+        found.append(sum(sizes.values()))
+        assert all(sum(follow[s].values()) + spare == c for s, (spare, c) in states.items())
     assert found[1] > found[0] > 0
 
 
+def test_packed_arrays():
+    for a in ([], [5], [-(1 << 63), (1 << 63) - 1, 0], list(range(70_000))):
+        got = suffix_tree_lm.unpack(suffix_tree_lm.pack(np.array(a, np.int64), np.array([7])))
+        assert got[0].tolist() == a and got[1].tolist() == [7]
+
+
 def test_contexts_help_on_held_out_texts(spark, sf):
     rows = [r for r in queries.op6_suffix_tree_lm(spark, sf).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) >= sum(r["base_score"] for r in rows)

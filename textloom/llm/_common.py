@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ours from whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(spark: SparkSession, table: str) -> None:
+    """Drops a table that was written in the shared folder, its files included."""
+    spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    delete_folder(spark, f"{shared_dir(spark)}/{table}")
+
+
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark then removes the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; looks at no more than one row beyond them."""
     return df.limit(max_rows + 1).count() <= max_rows

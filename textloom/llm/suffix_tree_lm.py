@@ -1,16 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States of the tree are contexts of one or two words that occur ``MIN_CONTEXT`` times or more in training, whatever the
-size of the corpus, and which pass a divergence test: the mean gain in log-likelihood of the words that follow, against the
-context's parent (itself without its first word), must be at least ``MIN_GAIN``. A state keeps the counts of all next words
-seen ``MIN_ENTRY`` times or more; the rest of its mass goes to the parent's distribution, so each state's distribution sums
-to one. A word is scored by the longest state that is a suffix of the words before it; a root without context gives the
-smoothed word frequencies.
-
-Counts cover all training documents and are summed on the cluster. Vocabulary, states and entries are unbounded, and none
-leaves the cluster: texts are cut into blocks, each block asks for the counts of its own distinct words, then of its own
-(state, word) pairs level by level, and for the verdicts on its own states. What is asked is shuffled by its key, and the
-answers come back to their blocks, packed.
+States of the tree are contexts of 1 to ``DEPTH`` words that occur ``MIN_CONTEXT`` times or more in training, whatever the
+size of the corpus, and that pass a divergence test: occurrences times the Kullback-Leibler divergence of the words that
+follow (those seen less than ``MIN_ENTRY`` times lumped together) from what the context's parent, itself without its first
+word, says of them, must be at least ``MIN_DIVERGENCE`` nats. A state keeps the counts of all next words seen ``MIN_ENTRY``
+times or more; the rest of its mass goes to the distribution of the longest state below it, so each state's distribution
+sums to one. A word is scored by the longest state that is a suffix of the words before it; a root without context gives
+the smoothed word frequencies.
+
+Counts cover all training documents and grow with the corpus; none of them goes to the driver. Texts are cut into blocks, which stay
+where they are written (a bucketed table). Level by level, each block asks for the totals of its own distinct (context,
+word) pairs. Its questions are packed by the part of the key space that answers them: the part merges what all blocks
+say of a pair, tests the part's contexts, numbers the pairs that may be contexts of the next level, and answers each
+block. Numbers, not hashes, name contexts and words from the second level on, so pairs are exact; words are
+named by 64-bit hashes. Pairs that can't have ``MIN_ENTRY`` occurrences, as the shorter pair has fewer, aren't asked for.
+
+Skew: a pair reaches its part at most once from a block. The pairs of a hot context are dealt to several parts by their
+words; what these find is added up on the driver and broadcast to the blocks. A hot context has more than a 2 ** -20 of all
+tokens, so these are at most 2 ** 21 rows of 40 bytes a level, 84 MB at any size of the corpus.
 
 Defined cases: a null text is an empty text, one end token; a null id is in training; repeated rows are trained on and
 scored as often as they occur; with no training documents every token has the probability 1 of an empty model; an empty
@@ -19,35 +26,36 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import math
-import zlib
+import struct
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, materialize
+from ._common import delete_folder, discard, drop_old_shuffles, materialize, prepare, shared_dir
 
-MIN_CONTEXT = 16
-#: A finite value raises the least count of a context to sqrt(training tokens) / ``CONTEXT_GROWTH``, for small trees.
-CONTEXT_GROWTH = math.inf
+DEPTH = 3
+MIN_CONTEXT = 2
 MIN_ENTRY = 2
-MIN_GAIN = 0.02
-#: Bytes of text whose words are counted and looked up together.
-BLOCK_BYTES = 8 << 20
-#: States up to this many are broadcast to their entries; more are joined by shuffling.
-BROADCAST_STATES = 1 << 20
-#: Answers that are packed together.
-PACK_ROWS = 1 << 18
+MIN_DIVERGENCE = 4.0
 #: Added to the mass that a state leaves to its parent.
 BACKOFF = 1.0
-END = 0
-
-_BLOCKS = "block long, ids array<{id}>, held array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>"
+#: Bytes of text whose words are counted and looked up together.
+BLOCK_BYTES = 5 << 20
+#: Tokens whose pairs one part answers for, and occurrences of a context beyond which several parts do: ``HOT``, or all
+#: training tokens over 2 ** ``HOT_SHARE`` if that is more.
+PART_TOKENS = 1 << 23
+HOT = 1 << 20
+HOT_SHARE = 20
+#: Steps a nat in which a parent's log-probabilities are sent to the divergence test.
+GRAIN = 16
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -55,33 +63,114 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % folds == fold
 
 
-def _word_hash(word: bytes) -> int:
-    """A word's number, as a signed long; never that of the end token."""
-    h = xxhash.xxh64_intdigest(word) or 1
-    return h - (1 << 64) if h >= 1 << 63 else h
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of longs as compressed byte planes of their distances from their least; :func:`unpack` reads them."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, np.int64)
+        low = a.min() if len(a) else np.int64(0)
+        far = (a - low).view(np.uint64)
+        width = (int(far.max()).bit_length() + 7) // 8 if len(a) else 0
+        out.append(struct.pack("<qqB", len(a), int(low), width))
+        out.append(far.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(packed), 0, []
+    while at < len(raw):
+        n, low, width = struct.unpack_from("<qqB", raw, at)
+        at += 17
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(planes.view(np.int64).ravel() + np.int64(low))
+        at += n * width
+    return out
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences between neighbours, the first from 0; ``np.cumsum`` undoes it."""
+    return np.diff(a, prepend=np.int64(0))
+
+
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key (unsigned): ranges of keys, so that sorted keys are sorted by part."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _scattered(a: np.ndarray) -> np.ndarray:
+    """Numbers as well-mixed unsigned keys."""
+    with np.errstate(over="ignore"):
+        z = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return z ^ (z >> np.uint64(27))
+
+
+class Model(NamedTuple):
+    """What every task needs to know: sums over training, the rules, and the number of parts."""
+
+    tokens: int
+    distinct: int
+    ends: int
+    parts: int
+    depth: int
+    min_context: int
+    min_entry: int
+    min_divergence: float
+    hot: int
+
+
+class Blocks(NamedTuple):
+    """Texts cut into blocks, as a table bucketed by block, the blocks' words, the number of buckets, and the names of the tables that belong to it."""
+
+    table: DataFrame
+    words: DataFrame
+    buckets: int
+    owned: list[str]
+
 
+def _bucketed(rows: DataFrame, buckets: int, owned: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` written in the shared folder, bucketed by block, so that joins on it need no shuffle, in a folder for each value of ``by``."""
+    spark = prepare(rows.sparkSession)
+    name = f"suffix_tree_{uuid.uuid4().hex}"
+    writer = rows.write.partitionBy(*by) if by else rows.write
+    writer.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    owned.append(name)
+    return spark.table(name)
 
-def cut_blocks(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataFrame:
-    """A row for each block: its documents' ids, sizes and word codes, its distinct words and their training counts. Written once."""
+
+def cut_blocks(docs: DataFrame, id_col: str, text_col: str, held_col: str, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """A row for each block: its documents' ids, sizes and word codes, its distinct words in the order of their hashes, and their training counts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
 
         def fresh():
-            return {}, [], [], [], []
+            return [], [], [], []
 
-        known, ids, held, sizes, codes = fresh()
+        ids, held, sizes, texts = fresh()
         volume = 0
 
         def done():
-            words = np.fromiter(map(_word_hash, known), np.int64, len(known))
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            train = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(flat[train], minlength=len(known))
-            return pa.RecordBatch.from_pylist(
-                [{"block": (part << 32) + serial, "ids": ids, "held": held, "sizes": sizes, "codes": zlib.compress(flat.tobytes(), 1), "words": words.tolist(), "counts": counts.tolist()}], schema=arrow
-            )
+            # Words with the end of a text, which no word equals, behind each text.
+            found = pa.concat_arrays([x for t in texts for x in (t, pa.array([b""]))]).dictionary_encode()
+            flat, known = found.indices.to_numpy(), found.dictionary.to_pylist()
+            end = known.index(b"")
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+            hashes[end] = np.uint64((1 << 64) - 1)
+            order = np.argsort(hashes)
+            order = np.r_[order[order != end], end]
+            # Codes of words count from 1 in the order of their hashes; one past them is the end token.
+            code = np.empty(len(known), np.int32)
+            code[order] = np.arange(1, len(known) + 1)
+            flat = code[flat]
+            train = np.repeat(~np.array(held, bool), np.array(sizes) + 1)
+            counts = np.bincount(flat[train], minlength=len(known) + 1)
+            block = (part << 32) + serial
+            words = {"block": block, "packed": pack(_steps(hashes[order[:-1]].view(np.int64)), counts[1:-1]), "kind": "words"}
+            whole = {"block": block, "ids": ids, "held": held, "packed": pack(sizes, flat), "trained": int(train.sum()), "ends": int(counts[-1]), "size": len(flat), "kind": "texts"}
+            return pa.RecordBatch.from_pylist([whole, words], schema=schema)
 
         for batch in batches:
             for doc, text, out in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -90,11 +179,11 @@ def cut_blocks(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> Da
                 ids.append(doc)
                 held.append(out)
                 sizes.append(len(found))
-                codes.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+                texts.append(pa.array(found, pa.binary()))
                 volume += len(raw) + 64
-                if volume >= BLOCK_BYTES:
+                if volume >= block_bytes:
                     yield done()
-                    known, ids, held, sizes, codes = fresh()
+                    ids, held, sizes, texts = fresh()
                     volume, serial = 0, serial + 1
         if ids:
             yield done()
@@ -102,295 +191,374 @@ def cut_blocks(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> Da
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = _parse_datatype_string(_BLOCKS.format(id=kind))
-    arrow = to_arrow_schema(schema)
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{held_col}`")).mapInArrow(run, schema)
-    return materialize(rows, "blocks")
-
+    out = _parse_datatype_string(f"block long, ids array<{kind}>, held array<boolean>, packed binary, trained long, ends long, size long, kind string")
+    schema = to_arrow_schema(out)
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{held_col}`"))
+    buckets, owned = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()), []
+    table = _bucketed(rows.mapInArrow(run, out), buckets, owned, ("kind",))
+    return Blocks(table.where("kind = 'texts'").withColumnRenamed("packed", "texts"), table.where("kind = 'words'").select("block", "packed"), buckets, owned)
+
+
+class _Asked(NamedTuple):
+    """A block's distinct (context, word) pairs of a level, in the order in which they are sent."""
+
+    part: np.ndarray
+    state: np.ndarray
+    count: np.ndarray
+    #: Numbered from 1; 0 asks for the context alone.
+    word: np.ndarray
+    #: Tokens with a context, the pair of each, and a token of each pair.
+    at: np.ndarray
+    pair: np.ndarray
+    some: np.ndarray
+
+
+def _distinct(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of the keys, and the number of each key among them. Keys are at least 0 and below ``top``."""
+    bits = len(keys).bit_length()
+    if top << bits < 1 << 63:  # sorted with their places in the low bits, which is many times faster than sorting places
+        keys = (keys << bits) | np.arange(len(keys))
+        keys.sort()
+        order = keys & ((1 << bits) - 1)
+        keys >>= bits
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
+
+
+class _Words(NamedTuple):
+    """A block's words by code (0: none), with their places in the order of their numbers."""
+
+    number: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, number: np.ndarray) -> _Words:
+        place = np.empty(len(number), np.int64)
+        place[np.argsort(number, kind="stable")] = np.arange(len(number))
+        return cls(number, place)
+
+
+def _ask(at: np.ndarray, place: np.ndarray, state: np.ndarray, count: np.ndarray, code: np.ndarray, words: _Words, first: bool, model: Model) -> _Asked:
+    """Pairs of the tokens ``at``, which have contexts: ``place`` numbers a token's context in ``state`` (-1: none) and
+    ``count``; ``code`` is its word's code, or 0 to ask for the context alone."""
+    may = np.flatnonzero(state >= 0)
+    if first:  # by part, then in the order of numbers; answers to pairs come in this order
+        may = may[np.lexsort((state[may], state[may] % model.parts))]
+    ordered = np.zeros(len(state), np.int64)
+    ordered[may] = np.arange(len(may))
+    width = len(words.number)
+    some, pair = _distinct(ordered[place] * width + words.place[code], len(may) * width)
+    own, word, some = ordered[place[some]], words.number[code[some]], at[some]
+    part, state, count = (state[may] % model.parts)[own], state[may][own], count[may][own]
+    if (count > model.hot).any():
+        salt = (_scattered(word) >> np.uint64(33)).astype(np.int64) % (count // model.hot + 1)
+        part = np.where(count > model.hot, (part + salt) % model.parts, part)
+        order = np.argsort(part, kind="stable")
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        part, state, count, word, pair, some = part[order], state[order], count[order], word[order], back[pair], some[order]
+    return _Asked(part, state, count, word, at, pair, some)
+
+
+def _answered(answers: list) -> list[np.ndarray]:
+    """The arrays of a block's answers, those of all parts together, by part."""
+    told = [unpack(a["packed"]) for a in sorted(answers or [], key=lambda a: a["part"])]
+    return [np.concatenate(x) for x in zip(*told)]
+
+
+def _walk(row: dict, levels: list, hot: list, model: Model):
+    """A block with the answers of its levels so far. Returns its documents' words, the tokens' probabilities by the longest
+    state of those levels, and what it asks on the next level; behind the last, the tokens' totals and probabilities by the root."""
+    sizes, codes = unpack(row["texts"])
+    codes = codes.astype(np.int32)
+    total, number = _answered(levels[0]) or [np.zeros(0, np.int64)] * 2
+    total, number = np.r_[0, total, model.ends], np.r_[-1, number, 0 if model.ends else -1]
+    width = len(total) - 1
+    chance = (total + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)) if model.tokens else np.ones(width + 1)
+    p = chance[codes]
+    words = _Words.of(number + 1)
+    asks = np.where(total >= model.min_entry, np.arange(width + 1, dtype=np.int32), 0)[codes]
+    may = total >= model.min_context
+    may[width] = False
+    # Tokens that have a context, and its place among the level's candidates.
+    at = np.flatnonzero(may[codes[:-1]]) + 1
+    place, state, count = codes[at - 1], np.where(may, number, -1), total
+    for level in range(1, model.depth + 1):
+        asked = _ask(at, place, state, count, asks[at], words, level == 1, model)
+        if level == len(levels):
+            return sizes, p, asked
+        spare, got, ids = _read_pairs(asked, levels[level], hot[level], model)
+        mass = asked.count + BACKOFF
+        own, left = np.where(spare >= 0, got / mass, 0.0), np.where(spare >= 0, (spare + BACKOFF) / mass, 1.0)
+        p[at] = own[asked.pair] + left[asked.pair] * p[at]
+        asks = np.zeros(len(codes), np.int32)
+        asks[at] = np.where(got >= model.min_entry, codes[asked.some], 0)[asked.pair]
+        ids[asked.word == words.number[width]] = -1
+        go = np.flatnonzero((ids >= 0)[asked.pair])
+        at, place, state, count = at[go] + 1, asked.pair[go], ids, got
+    return sizes, p, (total[codes], chance[codes])
+
+
+def _runs(a: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal neighbours."""
+    return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+
+
+def _read_pairs(asked: _Asked, answers: list, hot: tuple, model: Model):
+    """For each pair asked: its context's spare mass (-1: not a state), its total, and its number (-1: no context of the next level)."""
+    told = _answered(answers)
+    if not told:
+        return [np.zeros(0, np.int64)] * 3
+    spares, total, numbers = told
+    ids = np.full(len(total), -1)
+    ids[total >= model.min_context] = numbers
+    heads = _runs_of(asked)
+    spare = np.repeat(spares, np.diff(np.r_[heads, len(total)]))
+    if (spares == -2).any():
+        where = spare == -2
+        spare[where] = hot[1][np.searchsorted(hot[0], asked.state[where])]
+    return spare, total, ids
+
+
+def _runs_of(asked: _Asked) -> np.ndarray:
+    """Starts of the runs of one context within one part."""
+    return np.zeros(0, np.int64) if not len(asked.part) else np.flatnonzero(np.r_[True, (asked.part[1:] != asked.part[:-1]) | (asked.state[1:] != asked.state[:-1])])
+
+
+def _joined(blocks: Blocks, columns: list[str], levels: list[DataFrame]) -> DataFrame:
+    """Blocks with the answers of each level; bucketed tables, joined where they lie."""
+    rows = blocks.table.select("block", *columns)
+    for k, answers in enumerate(levels):
+        rows = rows.join(answers.select("block", F.col("answers").alias(f"level{k}")).hint("merge"), "block", "left")
+    return rows
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
 
-def word_totals(blocks: DataFrame) -> DataFrame:
-    """block, pos, total, first, word: the training count of each block's words. ``first`` marks one row of each word; ``word`` stands there, and where it may be a state."""
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    same = Window.partitionBy("word")
-    told = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1})
-    named = (F.col("first") & (F.col("total") > 1)) | (F.col("total") >= MIN_CONTEXT)
-    return materialize(told.select("block", "pos", "total", "first", F.when(named, F.col("word")).alias("word")), "totals")
 
+_QUESTIONS = "part int, block long, packed binary"
+_ANSWERS = "block long, part int, packed binary, tally long"
 
-def _rows(batches) -> Iterator[dict]:
-    """Blocks as dictionaries of numpy arrays; ids stay an Arrow array."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = {}
-            for name, column in zip(batch.schema.names, batch.columns):
-                value = column[k]
-                row[name] = value.as_py() if name in ("block", "codes") else value.values if name == "ids" else value.values.to_numpy(zero_copy_only=False)
-            yield row
-
-
-def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word codes of a block's documents, each followed by the end's code (one past the words), the documents' bounds, and the words' hashes with the end's."""
-    sizes = row["sizes"].astype(np.int64)
-    words = np.r_[row["words"], END]
-    flat = np.frombuffer(zlib.decompress(row["codes"]), np.int32)
-    bounds = np.cumsum(sizes + 1)
-    out = np.full(int(bounds[-1]) if len(bounds) else 0, len(words) - 1, np.int64)
-    inside = np.ones(len(out), bool)
-    inside[bounds - 1] = False
-    out[inside] = flat
-    return out, bounds, words
-
-
-def _mix(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a state and the word behind it."""
-    with np.errstate(over="ignore"):
-        z = word.astype(np.uint64) + (state.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
-
-
-class Tree:
-    """What the root needs, and for each level its states and their verdicts, which stay on the cluster."""
-
-    def __init__(self, tokens: int, distinct: int, ends: int):
-        self.tokens, self.distinct, self.ends = tokens, distinct, ends
-        #: The least count of a context.
-        self.least = max(MIN_CONTEXT, math.sqrt(tokens) / CONTEXT_GROWTH)
-        #: For each level: state, count, spare (mass left to the parent), mass, good (passed the test).
-        self.verdicts: list[DataFrame] = []
-        self.words: DataFrame | None = None
-        #: What blocks are told, in the order that :func:`_walk` reads it.
-        self.told: list[DataFrame] = []
-
-    @property
-    def model(self) -> tuple[int, int, int, float]:
-        return self.tokens, self.distinct, self.ends, self.least
-
-    @property
-    def singles(self) -> np.ndarray:
-        """The words that are states, by number; collected, for looking at small trees only."""
-        return self.words.orderBy("state").select("word").toPandas()["word"].to_numpy()
-
-    @property
-    def levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level, spare, mass and good in the order of the states; collected, for looking at small trees only."""
-        found = [v.orderBy("state").toPandas() for v in self.verdicts]
-        return [tuple(f[c].to_numpy() for c in ("spare", "mass", "good")) for f in found]
-
-
-def _asked(state: np.ndarray, flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct (state, word) pairs in order, as state * width + code; the tokens with a state, the pair of each, and a token of each pair."""
-    at = np.flatnonzero(state >= 0)
-    keys, some, pair = np.unique(state[at] * width + flat[at], return_index=True, return_inverse=True)
-    return keys, at, pair, at[some]
-
-
-def _spread(parts: list[bytes], n: int, missing: int) -> np.ndarray:
-    """Packed answers by position."""
-    out = np.full(n, missing, np.int64)
-    for pos, total in map(_unpack, parts):
-        out[pos] = total
-    return out
 
+def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    heads = _runs(part)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)]):
+        yield int(part[a]), slice(a, b)
 
-def _walk(row: dict, told: list, model: tuple, levels: int) -> tuple:
-    """A block with what it has been told: word totals and the numbers of its single states, then each level's totals and
-    the spare mass of its good states. Returns the words' counts, codes and bounds, the root's probabilities, those of the
-    last of ``levels`` levels, and what the next level asks: state, key and parent's probability of each pair, and tokens and
-    pairs as of :func:`_asked`."""
-    tokens, distinct, ends, least = model
-    flat, bounds, words = _codes(row)
-    width = len(words)
-    seen = _spread(told[0], width, 0)
-    seen[-1] = ends
-    root = ((seen + 0.5) / (tokens + 0.5 * (distinct + 1)) if tokens else np.ones(width))[flat]
-    names, counts = _spread(told[1], width, -1), seen
-    starts = np.r_[0, bounds[:-1]]
-    # The state before a token, as a place in the list of the level's candidates: words at first, then pairs of the level above.
-    state = np.where(names[before := np.r_[0, flat[:-1]]] >= 0, before, -1)
-    state[starts] = -1
-    p = root
-    for level in range(levels + 1):
-        keys, at, pair, some = _asked(state, flat, width)
-        above = names[keys // width]
-        named = _mix(above, words[keys % width])
-        if level == levels:
-            return seen, flat, bounds, root, p, (above, named, p[some], at, pair)
-        totals, spare = _spread(told[2 + 2 * level], len(keys), 0), _spread(told[3 + 2 * level], len(counts), -1)
-        s, parent = state[at], p[at]
-        p = p.copy()
-        p[at] = np.where(spare[s] >= 0, (totals[pair] + (spare[s] + BACKOFF) * parent) / (counts[s] + BACKOFF), parent)
-        here = np.full(len(flat), -1)
-        here[at] = np.where(totals[pair] >= least, pair, -1)
-        state = np.r_[-1, here[:-1]]
-        state[starts] = -1
-        names, counts = named, totals
-
-
-def next_totals(blocks: DataFrame, told: list[DataFrame], tree: Tree, level: int) -> DataFrame:
-    """block, pos, total, first, state, parent, key: how often each block's (state, word) pairs occur in training, if ``MIN_ENTRY`` times or more.
-
-    ``first`` marks one row of each pair; ``state`` and ``parent``, the word's probability one level up, stand there only;
-    ``key`` names the pair where it may be a state itself. Training and held-out texts ask alike.
-    """
-    model, sources = tree.model, len(told)
 
+def _ask_words(blocks: Blocks, parts: int) -> DataFrame:
     def run(batches):
-        for row, answers in _read_dealt(batches, sources):
-            _, flat, _, _, _, (state, key, parent, at, pair) = _walk(row, answers, model, level)
-            train = np.repeat(~row["held"], row["sizes"].astype(np.int64) + 1)
-            n = np.bincount(pair[train[at]], minlength=len(key))
-            for k in range(0, len(key), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                columns = [np.full(len(key[part]), row["block"]), np.arange(k, k + len(key[part]), dtype=np.int32), state[part], key[part], n[part].astype(np.int64), parent[part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "pos", "state", "key", "n", "parent"])
-
-    asked = _dealt(blocks, ["block", "held", "sizes", "codes", "words"], told).mapInArrow(run, "block long, pos int, state long, key long, n long, parent double")
-    same = Window.partitionBy("key")
-    answers = asked.withColumns({"total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1}).where(F.col("total") >= MIN_ENTRY)
-    once = [F.when(F.col("first"), F.col(c)).alias(c) for c in ("state", "parent")]
-    key = F.when((F.col("total") >= tree.least) & (level == 0), F.col("key")).alias("key")
-    return materialize(answers.select("block", "pos", "total", "first", *once, key), "next-totals")
-
-
-def _numbered(states: DataFrame) -> DataFrame:
-    """``states`` with a number from 0 in each row, without bringing the rows to one task."""
-    part = F.spark_partition_id()
-    rows = materialize(states.withColumns({"part": part, "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
-    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
-    starts = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
-    offsets = states.sparkSession.createDataFrame(starts, "part int, start long")
-    return rows.join(F.broadcast(offsets), "part").withColumn("state", F.col("start") + F.col("at")).drop("part", "at", "start")
-
-
-def _rate(entries: DataFrame, states: DataFrame) -> DataFrame:
-    """Tests the states of a level. ``entries`` has state, n and parent, the word's probability one level up, once for each
-    pair; ``states`` has state and count. Returns what :attr:`Tree.verdicts` holds, written."""
-    held = entries.groupBy("state").agg(F.sum("n").alias("held"))
-    spare = F.col("count") - F.coalesce("held", F.lit(0)) + BACKOFF
-    masses = materialize(states.join(held, "state", "left").select("state", "count", spare.alias("spare"), (F.col("count") + BACKOFF).alias("mass")), "masses")
-    p = (F.col("n") + F.col("spare") * F.col("parent")) / F.col("mass")
-    known = checked_broadcast(masses.select("state", "spare", "mass"), BROADCAST_STATES)
-    gains = entries.join(known, "state").groupBy("state").agg(F.sum(F.col("n") * F.log(p / F.col("parent"))).alias("gain"))
-    gain = F.coalesce("gain", F.lit(0.0)) + (F.col("spare") - BACKOFF) * F.log(F.col("spare") / F.col("mass"))
-    good = gain >= MIN_GAIN * F.greatest("count", F.lit(1))
-    return materialize(masses.join(gains, "state", "left").select("state", "count", "spare", "mass", good.alias("good")), "verdicts")
-
-
-def _spares(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """block, pos, total: the spare mass, less ``BACKOFF``, of each good state that ``asked`` (block, pos, state) names."""
-    good = verdicts.where("good").select("state", (F.col("spare") - BACKOFF).cast("long").alias("total"))
-    return asked.join(good, "state").select("block", "pos", "total")
-
-
-def learn(blocks: DataFrame, totals: DataFrame) -> tuple[Tree, list[DataFrame]]:
-    """The tree, and for each of its levels the answers of :func:`next_totals`. The driver gets sums only."""
-    sums = totals.where("first").agg(F.sum("total").alias("n"), F.expr("count_if(total > 0)").alias("v")).first()
-    ends = blocks.agg(F.sum(F.expr("size(filter(held, x -> not x))"))).first()[0] or 0
-    tree = Tree((sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0), ends)
-    often = totals.where(F.col("total") >= tree.least)
-    tree.words = materialize(_numbered(often.where("first").select("word", F.col("total").alias("count"))), "singles")
-    numbers = materialize(often.join(tree.words, "word").select("block", "pos", "state"), "numbers")
-    tree.told = [totals.where("total > 0"), numbers.withColumnRenamed("state", "total")]
-    states, asked, answers = tree.words.select("state", "count"), numbers, []
-    for level in range(2):
-        found = next_totals(blocks, tree.told, tree, level)
-        entries = found.where("first").select("state", F.col("total").alias("n"), "parent")
-        tree.verdicts.append(_rate(entries, states))
-        tree.told += [found, materialize(_spares(asked, tree.verdicts[-1]), "spares")]
-        answers.append(found)
-        named = found.where("key is not null")
-        states, asked = named.where("first").select(F.col("key").alias("state"), F.col("total").alias("count")), named.select("block", "pos", F.col("key").alias("state"))
-    return tree, answers
-
-
-def pack_answers(told: DataFrame) -> DataFrame:
-    """block, packed: the (pos, total) of ``told``, many to a row; :func:`_unpack` reads them."""
+        for row in _rows(batches):
+            hashes, counts = unpack(row["packed"])
+            hashes = np.cumsum(hashes)
+            for part, s in _slices(_part_of(hashes.view(np.uint64), parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["block"]]), pa.array([pack(_steps(hashes[s]), counts[s])], pa.binary())], names=["part", "block", "packed"])
 
-    def run(batches):
-        held, rows = [], 0
+    return blocks.words.mapInArrow(run, _QUESTIONS)
 
-        def done():
-            block, pos, total = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((pos, block))
-            block, pos, total = block[order], pos[order], total[order]
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            packed = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
-                raw = pos[a:b].tobytes() + total[a:b].tobytes()
-                packed.append(b"z" + zlib.compress(raw, 1) if b - a >= 32 else b"r" + raw)
-            return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(packed, pa.binary())], names=["block", "packed"])
 
-        for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(3)])
-            rows += batch.num_rows
-            if rows >= PACK_ROWS:
-                yield done()
-                held, rows = [], 0
-        if rows:
-            yield done()
+def _ask_pairs(blocks: Blocks, levels: list[DataFrame], hot: list, model: Model) -> DataFrame:
+    shared, told = blocks.table.sparkSession.sparkContext.broadcast(hot), len(levels)
 
-    return told.select("block", "pos", "total").mapInArrow(run, "block long, packed binary")
+    def run(batches):
+        for row in _rows(batches):
+            sizes, p, asked = _walk(row, [row[f"level{k}"] for k in range(told)], shared.value, model)
+            train = np.repeat(~np.array(row["held"], bool), sizes + 1)
+            n = np.bincount(asked.pair[train[asked.at]], minlength=len(asked.part))
+            grain = np.rint(-GRAIN * np.log(p[asked.some])).astype(np.int64)
+            for part, s in _slices(asked.part):
+                state, heads = asked.state[s], _runs(asked.state[s])
+                word = asked.word[s]
+                steps = _steps(word)
+                steps[heads] = word[heads]
+                packed = pack(_steps(state[heads]), np.diff(np.r_[heads, len(state)]), asked.count[s][heads], steps, n[s], grain[s])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["block"]]), pa.array([packed], pa.binary())], names=["part", "block", "packed"])
 
+    return _joined(blocks, ["held", "texts"], levels).mapInArrow(run, _QUESTIONS)
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(packed[1:]) if packed[:1] == b"z" else packed[1:]
-    n = len(raw) // 12
-    return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, n, 4 * n)
 
+def _answer(questions: DataFrame, model: Model, merge) -> DataFrame:
+    """Brings each part's questions together and has ``merge(part, messages)`` answer them: packed answers, in order, and rows about the part itself."""
 
-def _dealt(blocks: DataFrame, columns: list[str], told: list[DataFrame]) -> DataFrame:
-    """A block's ``columns`` and its answers of each of ``told``, in one task as sorted rows, the block first; for :func:`_read_dealt`."""
-    rows = blocks.select("block", F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("packed"), F.struct(*columns).alias("whole"))
-    for i, answers in enumerate(told):
-        rows = rows.unionByName(pack_answers(answers).withColumn("source", F.lit(i)), allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", "source")
+    def run(batches):
+        part, blocks, messages = None, [], []
 
+        def done():
+            answers, own = merge(part, [unpack(m) for m in messages], model)
+            rows = [(b, part, a, 0) for b, a in zip(blocks, answers)] + [(-1 - part, part, *own)]
+            for at in range(0, len(rows), 64):
+                some = list(zip(*rows[at : at + 64]))
+                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int32()), pa.array(some[2], pa.binary()), pa.array(some[3], pa.int64())], names=["block", "part", "packed", "tally"])
 
-def _read_dealt(batches: Iterator[pa.RecordBatch], sources: int) -> Iterator[tuple[dict, list]]:
-    """Each block and its packed answers by source; holds one block at a time."""
-    row, told = None, []
-    for batch in batches:
-        packed = batch.column(2)
-        for k, source in enumerate(batch.column(1).to_pylist()):
-            if source >= 0:
-                told[source].append(packed[k].as_py())
-                continue
-            if row:
-                yield row, told
-            row, told = next(_rows([pa.RecordBatch.from_struct_array(batch.column(3).slice(k, 1))])), [[] for _ in range(sources)]
-    if row:
-        yield row, told
-
-
-def score_blocks(blocks: DataFrame, tree: Tree, id_col: str) -> DataFrame:
+        for batch in batches:
+            for p, block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if p != part:
+                    if part is not None:
+                        yield from done()
+                    part, blocks, messages = p, [], []
+                blocks.append(block)
+                messages.append(packed.as_py())
+        if part is not None:
+            yield from done()
+
+    return questions.repartition(model.parts, "part").sortWithinPartitions("part").mapInArrow(run, _ANSWERS)
+
+
+def _cut(arrays: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(arrays, np.cumsum(sizes)[:-1])
+
+
+def merge_words(part: int, messages: list, model: Model) -> tuple[list[bytes], tuple]:
+    """Totals of the part's words, and numbers, the most frequent first, for those that may be contexts or entries. The tally is the number of training words."""
+    keys = np.concatenate([np.cumsum(m[0]) for m in messages])
+    found, place = np.unique(keys, return_inverse=True)
+    total = np.bincount(place, np.concatenate([m[1] for m in messages]), len(found)).astype(np.int64)
+    rank = np.empty(len(found), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(found))
+    number = np.where(total >= min(model.min_context, model.min_entry), 1 + rank * model.parts + part, -1)
+    sizes = [len(m[0]) for m in messages]
+    return [pack(t, i) for t, i in zip(_cut(total[place], sizes), _cut(number[place], sizes))], (pack(), int((total > 0).sum()))
+
+
+def divergence(count: np.ndarray, held: np.ndarray, known: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Occurrences times divergence from the parent: ``known`` sums n * log(n / count / p) over the entries, ``mass`` their p, ``held`` their n."""
+    rest = count - held
+    with np.errstate(divide="ignore", invalid="ignore"):
+        other = rest * np.log(rest / count / np.maximum(1 - mass, 1e-12))
+    return known + np.where(rest > 0, other, 0.0)
+
+
+def merge_pairs(part: int, messages: list, model: Model) -> tuple[list[bytes], tuple]:
+    """Totals of the part's pairs, tests of its contexts, and numbers for those pairs that may be contexts. What is known of hot contexts goes into the part's own row."""
+    runs = [m[1] for m in messages]
+    heads = np.concatenate([np.cumsum(m[0]) for m in messages])
+    state = np.repeat(heads, np.concatenate(runs))
+    steps, n, grain = (np.concatenate([m[k] for m in messages]) for k in (3, 4, 5))
+    # Words are told by their distances within a context.
+    sizes = np.concatenate(runs)
+    first = np.cumsum(sizes) - sizes
+    word = np.cumsum(steps)
+    word -= np.repeat(word[first] - steps[first], sizes)
+    states, first, head_at = np.unique(heads, return_index=True, return_inverse=True)
+    count = np.concatenate([m[2] for m in messages])[first]
+    place = np.repeat(head_at, np.concatenate(runs))
+    words = int(word.max(initial=0)) + 1
+    some, pair = _distinct(place * words + word, len(states) * words)
+    total = np.bincount(pair, n, len(some)).astype(np.int64)
+    total[(total < model.min_entry) | (word[some] == 0)] = 0
+    kept = np.flatnonzero(total)
+    own = place[some[kept]]
+    logp = -grain[some[kept]] / GRAIN
+    held = np.bincount(own, total[kept], len(states)).astype(np.int64)
+    known = np.bincount(own, total[kept] * (np.log(total[kept] / count[own]) - logp), len(states))
+    mass = np.bincount(own, np.exp(logp), len(states))
+    spare = np.where((held > 0) & (divergence(count, held, known, mass) >= model.min_divergence), count - held, -1)
+    hot = np.flatnonzero(count > model.hot)
+    spare[hot] = -2
+    number = np.full(len(some), -1)
+    may = total >= model.min_context
+    number[may] = np.arange(may.sum()) * model.parts + part
+    sizes = [int(r.sum()) for r in runs]
+    answers = []
+    for s, t, i in zip(_cut(spare[head_at], [len(r) for r in runs]), _cut(total[pair], sizes), _cut(number[pair], sizes)):
+        answers.append((s, t, i[t >= model.min_context]))
+    about = pack(states[hot], count[hot], held[hot], known[hot].view(np.int64), mass[hot].view(np.int64)) if len(hot) else None
+    return [pack(*a) for a in answers], (about, 0)
+
+
+def _by_block(answers: DataFrame, blocks: Blocks) -> DataFrame:
+    """The answers of a level, a row for each block, bucketed as the blocks are."""
+    rows = answers.repartition(blocks.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "packed")).alias("answers"), F.sum("tally").alias("tally"))
+    return _bucketed(rows, blocks.buckets, blocks.owned)
+
+
+def _hot_spares(answers: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and spare masses of the contexts dealt to several parts; see the module's text for their bound."""
+    told = [unpack(a["packed"]) for r in answers.where("block < 0 and exists(answers, a -> a.packed is not null)").select("answers").toLocalIterator() for a in r["answers"]]
+    if not told:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    state, count, held, known, mass = (np.concatenate(x) for x in zip(*told))
+    states, first, at = np.unique(state, return_index=True, return_inverse=True)
+    count, held = count[first], np.bincount(at, held, len(states)).astype(np.int64)
+    known, mass = (np.bincount(at, x.view(np.float64), len(states)) for x in (known, mass))
+    return states, np.where((held > 0) & (divergence(count, held, known, mass) >= model.min_divergence), count - held, -1)
+
+
+class Tree(NamedTuple):
+    """The model's sums, and for each level the answers by block and the spare masses of hot contexts."""
+
+    model: Model
+    levels: list[DataFrame]
+    hot: list[tuple[np.ndarray, np.ndarray]]
+
+
+def learn(blocks: Blocks, depth: int = DEPTH, min_context: int = MIN_CONTEXT, min_entry: int = MIN_ENTRY, min_divergence: float = MIN_DIVERGENCE, hot: int = HOT) -> Tree:
+    """The tree of the blocks' training documents. The driver gets sums, and what it is told of hot contexts."""
+    spark = blocks.table.sparkSession
+    sums = blocks.table.agg(F.sum("trained").alias("n"), F.sum("ends").alias("ends"), F.sum("size").alias("size")).first()
+    ends = sums["ends"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["size"] or 0) // PART_TOKENS))
+    tokens = sums["n"] or 0
+    hot = max(hot, tokens >> HOT_SHARE)
+    model = Model(tokens, 0, ends, parts, depth, min_context, min_entry, min_divergence, hot)
+    words = _by_block(_answer(_ask_words(blocks, parts), model, merge_words), blocks)
+    distinct = words.agg(F.sum("tally")).first()[0] or 0
+    model = model._replace(distinct=distinct + (ends > 0))
+    delete_folder(spark, f"{shared_dir(spark)}/{blocks.owned[0]}/kind=words")
+    drop_old_shuffles(spark)
+    levels, spares = [words], [(np.zeros(0, np.int64),) * 2]
+    for _ in range(depth):
+        levels.append(_by_block(_answer(_ask_pairs(blocks, levels, spares, model), model, merge_pairs), blocks))
+        spares.append(_hot_spares(levels[-1], model))
+        drop_old_shuffles(spark)
+    return Tree(model, levels, spares)
+
+
+def score_blocks(blocks: Blocks, tree: Tree, id_col: str) -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    model, sources = tree.model, len(tree.told)
+    kind = blocks.table.schema["ids"].dataType.elementType.simpleString()
+    model, levels = tree.model, len(tree.levels)
+    shared = blocks.table.sparkSession.sparkContext.broadcast(tree.hot)
 
     def run(batches):
-        for row, told in _read_dealt(batches, sources):
-            seen, flat, bounds, p, full, _ = _walk(row, told, model, 2)
-            per_doc = lambda x: np.add.reduceat(x, np.r_[0, bounds[:-1]])
-            columns = [
-                row["ids"],
-                pa.array(row["held"]),
-                pa.array(row["sizes"].astype(np.int64) + 1),
-                pa.array(per_doc((seen[flat] > 0).astype(np.int64))),
-                pa.array(np.full(len(bounds), model[0], np.int64)),
-                pa.array(per_doc(np.log10(p))),
-                pa.array(per_doc(np.log10(full))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            for k in range(batch.num_rows):
+                row = next(_rows([batch.drop_columns(["ids"]).slice(k, 1)]))
+                sizes, p, (seen, root) = _walk(row, [row[f"level{i}"] for i in range(levels)], shared.value, model)
+                bounds = np.cumsum(sizes + 1)
+                per_doc = lambda x: np.add.reduceat(x, np.r_[0, bounds[:-1]])
+                columns = [
+                    batch.column(at)[k].values,
+                    pa.array(row["held"]),
+                    pa.array(np.diff(bounds, prepend=0)),
+                    pa.array(per_doc((seen > 0).astype(np.int64))),
+                    pa.array(np.full(len(bounds), model.tokens, np.int64)),
+                    pa.array(per_doc(np.log10(root))),
+                    pa.array(per_doc(np.log10(p))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _dealt(blocks, ["ids", "held", "sizes", "codes", "words"], tree.told).mapInArrow(run, schema)
+    return _joined(blocks, ["ids", "held", "texts"], tree.levels).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
-    """Learns from the documents outside ``fold`` and scores all of them."""
+    """Learns from the documents outside ``fold`` and scores all of them. The result is written, and what led to it removed."""
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), held_out(id_col, folds, fold).alias("__held"))
     blocks = cut_blocks(rows, id_col, text_col, "__held")
-    tree, _ = learn(blocks, word_totals(blocks))
-    return score_blocks(blocks, tree, id_col)
+    tree = learn(blocks)
+    scores = materialize(score_blocks(blocks, tree, id_col), "scores")
+    for name in blocks.owned:
+        discard(docs.sparkSession, name)
+    return scores
