@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -55,6 +56,33 @@ def test_quality_refuses_a_bad_host_only(spark):
     assert not any(kept[i] for i in range(300)) and all(kept[i] for i in range(300, 900))
 
 
+def test_a_strict_host_rejects_what_fails_its_rule(spark):
+    """Pages of symbols go where many of the host's pages have them, and stay at other hosts."""
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(i, f"h{i % 20}", f"{words} {i}" + (" " + "#$%" * 60 if (i % 20 == 3 and i < 600) or i % 97 == 0 else "")) for i in range(2000)]
+    got = {r["doc_id"]: r for r in quality_rules.judge_documents(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    gone = {i for i, r in got.items() if not r["kept"]}
+    assert gone == {i for i, _, t in rows if "#" in t and i % 20 == 3}
+
+
+def test_kept_documents_keep_their_columns(spark, odd):
+    rows = [(i, "a", " ".join(f"w{k}" for k in range(20)) if i else "no", 777, "x", 5) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_words long, kept string, c0 int")
+    kept = quality_rules.kept_documents(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[1:])
+    assert quality_rules.kept_documents(odd).columns == odd.columns
+
+
+def test_host_verdicts_change_results(spark):
+    """On the given documents some rows are rejected by their host only."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    rows = queries.op9_quality_rules(spark, path)
+    assert rows.where("not kept and not base_failed").count() > 0 and rows.where("kept").count() > 8000
+
+
 def test_host_prior_is_bounded():
     for k, n, f, v in ((0, 0, 0, None), (1, 5, 5, None), (3, 10, 0, 0.0), (3, 10, 5, 0.2), (3, 10, 10, float("nan"))):
         a, b = quality_rules.fit_prior(k, n, f, v)
@@ -145,16 +173,55 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert sorted((str(a), f, str(c)) for a, f, c in got) == brute_components(rows)
 
 
-def test_one_of_each_stays(spark, odd, none):
-    rows = near_copies(40)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [r["doc_id"] for r in simhash_dedup.keep_one_of_each(docs).collect()]
-    want = {c for d, _, c in brute_components(rows) if d != "None"}
-    assert sorted(map(str, kept)) == sorted([*want, "None"])
+def one_of_each(rows, id_at=0, text_at=1):
+    """Rows that stay, by all pairs: of each class the first by id, nulls last, once."""
+    rows = list(dict.fromkeys(rows))
+    fps = [simhash_dedup.fingerprints(r[text_at], simhash_dedup.STAGE_SHINGLE, words=simhash_dedup.STAGE_WORDS) for r in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (np.bitwise_count(fps[i] ^ fps[j]) <= simhash_dedup.STAGE_BITS).any():
+                a, b = comp[i], comp[j]
+                comp = [b if c == a else c for c in comp]
+    return [[r for r, c in zip(rows, comp) if c == k] for k in dict.fromkeys(comp)]
+
+
+@pytest.mark.parametrize("hot", [2048, 8])
+def test_one_of_each_stays(spark, odd, none, monkeypatch, hot):
+    monkeypatch.setattr(simhash_dedup, "HOT_BUCKET", hot)
+    far = [" ".join(f"{c}{k}" for k in range(50)) for c in "abc"]
+    odd_rows = [(5, far[0]), (5, far[1]), (3, far[1]), (6, far[2]), (6, far[2]), (None, far[2]), (None, "only here, with no id at all"), (None, None), (7, "")]
+    rows = [*near_copies(40), *odd_rows]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, row_key string, fps int")
+    kept = simhash_dedup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    classes = one_of_each(rows)
+    assert sum(got.values()) == len(classes)
+    for c in classes:
+        ids = [d for d, _ in c if d is not None]
+        stays = [r for r in c if got[r]]
+        assert len(stays) == 1 and got[stays[0]] == 1 and (not ids or stays[0][0] == min(ids))
     assert simhash_dedup.keep_one_of_each(odd).where("doc_id = 3").count() == 1
+    assert simhash_dedup.keep_one_of_each(none).count() == 0
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_stage_finds_copies_that_differ(spark):
+    """Copies of five-word shingles about 0.9 alike are nearly all found, those 0.6 alike are left alone."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(150):
+        base = [f"w{k}" for k in rng.integers(0, 20_000, 200)]
+        rows.append((10 * i, " ".join(base)))
+        for more, cut in ((1, 2), (2, 10)):
+            text = base.copy()
+            for k in rng.choice(200, cut, replace=False):
+                text[k] = f"z{rng.integers(0, 20_000)}"
+            rows.append((10 * i + more, " ".join(text)))
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(10 * i + 1 in kept for i in range(150)) <= 30 and sum(10 * i + 2 in kept for i in range(150)) >= 140
+
+
 def test_chain_of_links_is_one_class(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "src long, dst long")
     got = {r["node"]: r["root"] for r in simhash_dedup.connect(links).collect()}
@@ -181,7 +248,7 @@ def test_mixing(spark, odd, none):
 
 
 def test_shards_hold_equal_blocks(spark):
-    targets = spark.createDataFrame([(0, 3000.0), (1, 0.0), (2, 900.5)], "rank int, target double")
+    targets = spark.createDataFrame([(0, 3000.0, 1000), (1, 0.0, 0), (2, 900.5, 900)], "rank int, target double, source_size long")
     dealt = source_mixing.deal_blocks(targets, block_words=10, shard_blocks=50).collect()
     assert len(dealt) == 390 == len({(r["rank"], r["place"]) for r in dealt})
     sizes = Counter(r["shard"] for r in dealt)
@@ -190,11 +257,88 @@ def test_shards_hold_equal_blocks(spark):
     assert sum(share.values()) == 90 and len(set(share.values())) > 1  # drawn, not dealt evenly
 
 
-def test_first_words(spark):
-    from pyspark.sql import functions as F
-
+def test_words_between(spark):
     df = spark.createDataFrame([("  a\n b\tc",)], "t string")
-    assert df.select(source_mixing.first_words(F.col("t"), F.lit(2))).first()[0] == "  a\n b"
+    cut = lambda a, b: df.select(source_mixing.words_between(F.col("t"), F.lit(a), F.lit(b))).first()[0]
+    assert cut(0, 2) == "  a\n b" and cut(1, 3) == "b\tc" and cut(2, 3) == "c"
+
+
+def shuffled(x, n, name):
+    """The swap-or-not shuffle, restated."""
+    for i in range(source_mixing.ROUNDS):
+        key = int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:12], 16) % n
+        partner = (key - x) % n
+        if hashlib.md5(f"{name}:{i}:{max(x, partner)}".encode()).hexdigest()[0] >= "8":
+            x = partner
+    return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 24, 168, 1000])
+def test_blocks_are_permuted(spark, n):
+    rows = [r[0] for r in spark.range(n).selectExpr(source_mixing.shuffled_sql("id", str(n) + "L", "'17:3:0'")).collect()]
+    assert rows == [shuffled(x, n, "17:3:0") for x in range(n)] and sorted(rows) == list(range(n))
+    if n > 100:
+        steps = Counter((b - a) % n for a, b in zip(rows, rows[1:]))
+        assert len(steps) > n / 8  # no fixed stride
+
+
+def brute_mix(rows, block):
+    """(text or part of it) as often as the mix has it, for (id, text, source) rows, without shards."""
+    size = lambda t: len((t or "").encode().split())
+    text_md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(size(r[1]) for r in rows if r[2] == s) for s in names]
+    target, fixed = [0.0] * len(names), set()
+    while True:
+        weight = sum(1 + k % 3 for k in range(len(names)) if k not in fixed)
+        rest = sum(sizes) - sum(3 * sizes[k] for k in fixed)
+        over = {k for k in range(len(names)) if k not in fixed and (1 + k % 3) * rest / weight > 3 * sizes[k]}
+        target = [3.0 * sizes[k] if k in fixed else (1 + k % 3) * rest / weight for k in range(len(names))]
+        if not over:
+            break
+        fixed |= over
+    out = Counter()
+    for rank, s in enumerate(names):
+        if not sizes[rank]:
+            continue
+        words, at = math.floor(target[rank]), 0
+        passes, rest = divmod(words, sizes[rank])
+        order = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"17:{'' if r[0] is None else r[0]}:{text_md5(r[1])}".encode()).hexdigest())
+        blocks, taken = sizes[rank] // block, set()
+        for w in range(sizes[rank]):
+            b = w // block
+            own = shuffled(b, blocks, f"17:{rank}:{passes}") if b < blocks else blocks
+            if own < rest // block or own == rest // block and w % block < rest % block:
+                taken.add(w)
+        for r in order:
+            found, n = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r[1] or ""), size(r[1])
+            out[(r[0], r[1], r[2])] += passes * (n > 0)
+            run = []
+            for k in range(n + 1):
+                if k < n and at + k in taken:
+                    run.append(k)
+                elif run:
+                    whole = len(run) == n
+                    text = r[1] if whole else "".join(found[run[0] : run[-1] + 1])
+                    out[(r[0], text if whole or not run[0] else text.lstrip(" \t\n\v\f\r"), r[2])] += 1
+                    run = []
+            at += n
+    return +out
+
+
+@pytest.mark.parametrize("block", [3, 64, 4096])
+def test_mixed_documents(spark, monkeypatch, block):
+    """Rows without ids, rows that share an id, equal rows and clashing names: every row gives what the plan takes of it."""
+    monkeypatch.setattr(source_mixing.mix_pieces, "__defaults__", (block, 4, 3, 17))
+    rng = np.random.default_rng(block)
+    text = lambda n: "  " * (n % 2) + " \n".join(f"w{x}" for x in rng.integers(0, 99, n))
+    same = text(30)
+    rows = [(None, text(50), "a"), (1, text(5), "a"), (1, text(100), "a"), (2, text(45), "a"), (3, same, "b"), (3, same, "b"), (4, None, "b"), (5, "", None), (6, text(400), "c"), (None, text(9), None), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, s, 7) for i, t, s in rows], "doc_id long, text string, source string, shard int")
+    mixed = source_mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect())
+    assert got == brute_mix(rows, block)
 
 
 def test_shares_above_the_cap_are_given_to_others(spark):

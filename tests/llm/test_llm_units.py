@@ -148,11 +148,14 @@ def test_bucket_links_connect_what_all_pairs_connect(n):
         f = f ^ (np.int64(1) << rng.integers(0, 63, n)) * rng.integers(0, 2, n)
     f = np.unique(np.where(rng.random(n) < 0.3, ~f, f))
     want = parts_of(f.tolist(), [(a, b) for i, a in enumerate(f.tolist()) for b in f[i + 1 :].tolist() if bin((a ^ b) & (2**64 - 1)).count("1") <= 4])
-    links = simhash_dedup._forest(f)
+    links = simhash_dedup._forest(f, 4)
     assert sum(len(a) for a, _ in links) < len(f) + 1
-    assert parts_of(f.tolist(), [(int(a), int(b)) for x, y in links for a, b in zip(x, y)]) == want
+    assert parts_of(f.tolist(), [(int(f[a]), int(f[b])) for x, y in links for a, b in zip(x, y)]) == want
     half = rng.random(len(f)) < 0.5
-    both = [*simhash_dedup._forest(f[half]), *simhash_dedup._forest(f[~half]), *simhash_dedup._bipartite(f[half], f[~half])]
+    here, there = np.flatnonzero(half), np.flatnonzero(~half)
+    inside = [(at[x], at[y]) for at in (here, there) for x, y in simhash_dedup._forest(f[at], 4)]
+    both = [*inside, *simhash_dedup._bipartite(f, here, there, 4)]
+    both = [(f[x], f[y]) for x, y in both]
     assert parts_of(f.tolist(), [(int(a), int(b)) for x, y in both for a, b in zip(x, y)]) == want
 
 

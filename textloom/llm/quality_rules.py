@@ -1,13 +1,15 @@
 """Quality rules with host-level verdicts.
 
-Each document is measured by a few rules. Failures are added up by host, each host's failure rate is shrunk towards the
-rate of all hosts by a beta prior fitted to the hosts themselves (method of moments), and the verdict on the host goes
-back to its documents. A host is refused only if its shrunk rate, less two posterior standard deviations, is above
-``HOST_LIMIT``: a few bad pages refuse no host, and a small host needs more than a bad start.
+Each document is measured by a few rules. One, the base rule, rejects a document by itself; what fails only another
+(``RULES``) is rejected if its host is known for it. Failures of each rule are added up by host, each host's failure rate
+is shrunk towards the rate of all hosts by a beta prior fitted to the hosts themselves (method of moments), and the
+verdicts go back to the documents. A host is strict on a rule if its shrunk rate is above the mean of the hosts' shrunk
+rates by more than their standard deviation. All of a host is refused only if its shrunk rate of base failures, less two posterior
+standard deviations, is above ``HOST_LIMIT``: a few bad pages refuse no host, and a small host needs more than a bad start.
 
 Defined cases: a null text is a text without words (it fails); a null host is a host of its own; repeated rows are
 measured and counted as often as they occur; an empty table gives an empty result; columns besides those used pass
-through, and a column that clashes with a new one is replaced by the new one.
+through, and a column that clashes with a new one is replaced by the new one (:func:`kept_documents` returns the input's own columns only).
 """
 
 from __future__ import annotations
@@ -27,6 +29,14 @@ WINDOW = 5
 HOST_LIMIT = 0.5
 #: Hosts under verdict are broadcast up to this many rows; more are joined by shuffling.
 BROADCAST_HOSTS = 50_000
+#: Rules that reject a document only where its host is strict, as SQL over the measures.
+RULES = {
+    "many_symbols": "10 * n_symbols > word_chars",
+    "repeated_lines": "20 * n_dup_lines > n_words",
+    "odd_words": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
+}
+#: Rates nearer than this are equal.
+TIE = 1e-9
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: From this many words on, windows are compared as numbers, which take less memory than tuples.
@@ -102,18 +112,32 @@ def measure_documents(docs: DataFrame, text_col: str = "text", keep: list[str] |
 
 
 def host_verdicts(measured: DataFrame, host_col: str) -> DataFrame:
-    """host, n_docs, n_failed, rate (shrunk), refused: one row for each host, null among them.
+    """host, n_docs, n_failed, rate (shrunk, of base failures), refused, and strict, a struct of a flag for each of ``RULES``: one row for each host, null among them.
 
     The counts are summed on the map side first, so one host with a third of all rows is a few rows in the shuffle.
     """
-    hosts = measured.groupBy(F.col(f"`{host_col}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    p = F.col("n_failed") / F.col("n_docs")
-    s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.var_samp(p).alias("v")).first()
-    a, b = fit_prior(s["k"], s["n"] or 0, s["f"] or 0, s["v"])
-    alpha, beta = F.col("n_failed") + F.lit(a), F.col("n_docs") - F.col("n_failed") + F.lit(b)
+    failed = {"n_failed": F.col("base_failed"), **{name: F.expr(rule) for name, rule in RULES.items()}}
+    sums = [F.sum(c.cast("long")).alias(name) for name, c in failed.items()]
+    hosts = materialize(measured.groupBy(F.col(f"`{host_col}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *sums), "host-sums")
+    of = [x for name in failed for x in (F.sum(name).alias(f"f_{name}"), F.var_samp(F.col(name) / F.col("n_docs")).alias(f"v_{name}"))]
+    s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n_docs").alias("n"), *of).first()
+    priors = {name: fit_prior(s["k"], s["n"] or 0, s[f"f_{name}"] or 0, s[f"v_{name}"]) for name in failed}
+
+    def posterior(name):
+        a, b = priors[name]
+        return F.col(name) + F.lit(a), F.col("n_docs") - F.col(name) + F.lit(b)
+
+    alpha, beta = posterior("n_failed")
     total = alpha + beta
     rate = alpha / total
-    return hosts.withColumns({"rate": rate, "refused": rate - 2 * F.sqrt(alpha * beta / (total * total * (total + 1))) > HOST_LIMIT})
+    refused = rate - 2 * F.sqrt(alpha * beta / (total * total * (total + 1))) > HOST_LIMIT
+    shrunk = {}
+    for name in RULES:
+        alpha_of, beta_of = posterior(name)
+        shrunk[name] = alpha_of / (alpha_of + beta_of)
+    spread = hosts.agg(*[f(c).alias(f"{x}_{name}") for name, c in shrunk.items() for x, f in (("m", F.avg), ("d", F.stddev_samp))]).first()
+    strict = [(c > F.lit((spread[f"m_{name}"] or 0.0) + (spread[f"d_{name}"] or 0.0) + TIE)).alias(name) for name, c in shrunk.items()]
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), refused.alias("refused"), F.struct(*strict).alias("strict"))
 
 
 def fit_prior(k: int, n: int, failed: int, variance: float | None) -> tuple[float, float]:
@@ -136,7 +160,18 @@ def judge_documents(docs: DataFrame, host_col: str = "source", text_col: str = "
     keep = list(dict.fromkeys([*(docs.columns if keep is None else keep), host_col]))
     new = {"host_rate", "kept"}
     measured = materialize(measure_documents(docs, text_col, [c for c in keep if c.lower() not in new]), "quality")
-    key, rate, refused = (free_name(measured.columns, x) for x in ("host", "host_rate", "refused"))
-    verdicts = materialize(host_verdicts(measured, host_col), "hosts").select(F.col("host").alias(key), F.col("rate").alias(rate), F.col("refused").alias(refused))
+    key, rate, refused, strict = (free_name(measured.columns, x) for x in ("host", "host_rate", "refused", "strict"))
+    verdicts = materialize(host_verdicts(measured, host_col), "hosts").select(F.col("host").alias(key), F.col("rate").alias(rate), F.col("refused").alias(refused), F.col("strict").alias(strict))
     joined = measured.join(checked_broadcast(verdicts, BROADCAST_HOSTS), F.col(f"`{host_col}`").eqNullSafe(F.col(f"`{key}`")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col(f"`{refused}`"), F.lit(False))).drop(key, refused)
+    bad = F.col("base_failed") | F.coalesce(F.col(f"`{refused}`"), F.lit(False))
+    for name, rule in RULES.items():
+        bad = bad | (F.expr(rule) & F.coalesce(F.col(f"`{strict}`")[name], F.lit(False)))
+    return joined.withColumn("kept", ~bad).drop(key, refused, strict)
+
+
+def kept_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns, whatever these are named."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    kept = judge_documents(renamed, own[host_col], own[text_col]).where("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])

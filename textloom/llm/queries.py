@@ -63,10 +63,18 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_source_mixing, op4_token_counts, op5_simhash_dedup, op6_suffix_tree_lm, op7_pii, op8_bpe, op9_quality_rules, op10_vector_search)}
 
-OP3_SQL = r"""
+def _op3_sql(block: int, rounds: int, seed: int) -> str:
+    """The mix without shards: targets, streams in hashed order, and the blocks that the shuffle of the last pass draws."""
+    swaps, x = [], "block"
+    for i in range(rounds):
+        key = f"CAST(('0x' || substr(md5(name || ':{i}'), 1, 12)) AS BIGINT) % blocks"
+        partner = f"((({key}) - {x}) % blocks + blocks) % blocks"
+        swaps.append(f"x{i} AS (SELECT *, CASE WHEN substr(md5(name || ':{i}:' || greatest({x}, {partner})), 1, 1) >= '8' THEN {partner} ELSE {x} END AS s{i} FROM {f'x{i - 1}' if i else 'e'} WHERE blocks > 0)")
+        x = f"s{i}"
+    return r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || doc_id) AS k
+         md5('SEED:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k, row_number() OVER () AS id
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
@@ -79,19 +87,30 @@ f AS (
   FROM w),
 v AS (SELECT *, (total - below) / behind AS lvl FROM f),
 l AS (SELECT arg_min(lvl, place) AS lvl FROM v WHERE lvl <= cap / weight),
-t AS (SELECT v.source, v.source_size, least(CAST(v.cap AS DOUBLE), v.weight * l.lvl) AS target FROM v, l),
+t AS (SELECT v.rk, v.source, v.source_size, least(CAST(v.cap AS DOUBLE), v.weight * l.lvl) AS target FROM v, l),
+q AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size END AS passes FROM t),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(pos + size, words) - pos)
-          + greatest(0, least(source_size + pos + size, words) - (source_size + pos))
-          + greatest(0, least(2 * source_size + pos + size, words) - (2 * source_size + pos)) AS BIGINT) AS taken
-FROM p
-"""
+  SELECT d.id, d.doc_id, d.size, q.rk, q.source_size, q.target, q.passes, q.source_size // BLOCK AS blocks,
+         CAST(floor(q.target) AS BIGINT) - q.passes * q.source_size AS rest,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+e AS (
+  SELECT *, 'SEED:' || rk || ':' || passes AS name, unnest(range(pos // BLOCK, (pos + size - 1) // BLOCK + 1)) AS block FROM p WHERE size > 0 AND rest > 0),
+SWAPS,
+o AS (
+  SELECT id, pos, size, rest, block, CASE WHEN block < blocks THEN LAST ELSE blocks END AS own FROM FINAL
+  UNION ALL SELECT id, pos, size, rest, block, blocks FROM e WHERE blocks = 0),
+g AS (
+  SELECT id, sum(greatest(0, least(pos + size, CASE WHEN own < rest // BLOCK THEN (block + 1) * BLOCK WHEN own = rest // BLOCK THEN block * BLOCK + rest % BLOCK ELSE 0 END) - greatest(pos, block * BLOCK))) AS n
+  FROM o GROUP BY id)
+SELECT doc_id, size, source_size, target, CAST(passes * size + coalesce(g.n, 0) AS BIGINT) AS taken FROM p LEFT JOIN g USING (id)
+""".replace("SWAPS", ",\n".join(swaps)).replace("FINAL", f"x{rounds - 1}").replace("LAST ELSE", f"{x} ELSE").replace("BLOCK", str(block)).replace("SEED", str(seed))
+
 
-OP9_SQL = r"""
+OP3_SQL = _op3_sql(source_mixing.BLOCK_WORDS, source_mixing.ROUNDS, source_mixing.SEED)
+
+_OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
@@ -111,13 +130,35 @@ m AS (
          CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b GROUP BY source),
-s AS (SELECT count(*) AS k, least(greatest((sum(f) + 0.5) / (sum(n) + 1), 1e-6), 1 - 1e-6) AS mean, var_samp(f / n) AS v FROM h),
-p AS (SELECT mean, CASE WHEN k < 2 THEN 2.0 WHEN coalesce(v, 0) <= 0 THEN 1000.0 ELSE least(greatest(mean * (1 - mean) / v - 1, 2.0), 1000.0) END AS weight FROM s),
-z AS (SELECT source, f + mean * weight AS a, n - f + (1 - mean) * weight AS e FROM h, p),
-q AS (SELECT source, a / (a + e) - 2 * sqrt(a * e / ((a + e) * (a + e) * (a + e + 1))) > 0.5 AS refused FROM z)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT q.refused AS kept
-FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS base{counts} FROM b GROUP BY source),
+{fits}
+z AS (SELECT source{rates} FROM h, {priors}),
+y AS (SELECT {limits} FROM z),
+v AS (SELECT source, refused{flags} FROM z, y)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT v.refused{verdicts} AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
+
+def _op9_sql(text: str) -> str:
+    rules = list(quality_rules.RULES)
+    fits = []
+    for r in ["base", *rules]:
+        fits.append(f"""s_{r} AS (SELECT count(*) AS k, least(greatest((sum({r}) + 0.5) / (sum(n) + 1), 1e-6), 1 - 1e-6) AS mean, var_samp({r} / n) AS v FROM h),
+p_{r} AS (SELECT mean * weight AS a_{r}, (1 - mean) * weight AS b_{r} FROM (SELECT mean, CASE WHEN k < 2 THEN 2.0 WHEN coalesce(v, 0) <= 0 THEN 1000.0 ELSE least(greatest(mean * (1 - mean) / v - 1, 2.0), 1000.0) END AS weight FROM s_{r})),""")
+    spread = lambda a, b: f"sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
+    rates = f", (base + a_base) / (n + a_base + b_base) - 2 * {spread('(base + a_base)', '(n - base + b_base)')} > 0.5 AS refused"
+    rates += "".join(f", ({r} + a_{r}) / (n + a_{r} + b_{r}) AS rate_{r}" for r in rules)
+    for name, part in {
+        "counts": "".join(f", count(*) FILTER (WHERE {quality_rules.RULES[r]}) AS {r}" for r in rules),
+        "fits": "\n".join(fits), "rates": rates, "limits": ", ".join(f"avg(rate_{r}) + coalesce(stddev_samp(rate_{r}), 0) + {quality_rules.TIE} AS limit_{r}" for r in rules),
+        "flags": "".join(f", rate_{r} > limit_{r} AS strict_{r}" for r in rules), "priors": ", ".join(f"p_{r}" for r in ["base", *rules]),
+        "verdicts": "".join(f" AND NOT (v.strict_{r} AND ({quality_rules.RULES[r]}))" for r in rules),
+    }.items():
+        text = text.replace("{" + name + "}", part)
+    return text
+
+
+OP9_SQL = _op9_sql(_OP9_SQL)
+
 ORACLE_SQL = {"op3_source_mixing": OP3_SQL, "op9_quality_rules": OP9_SQL}

@@ -1,19 +1,21 @@
 """Mixing sources to target weights, with DataFrame and SQL functions only.
 
-Each source's documents, in hashed order, make one long stream of words; the mix takes the stream's first ``target``
-words, going round again where the target exceeds the source (up to ``MAX_REPEATS`` times). The taken part is cut into
-blocks of ``block_words``. A splitting tree deals the blocks to output shards: its root holds every source's exact block
+Each source's documents, in hashed order, make one long stream of words, cut into blocks of ``block_words``. The mix takes
+as many whole passes of the stream as the target holds, and of the next pass as many blocks as are left, the last of them
+in part, so a source gives exactly its target, rounded down. Which blocks these are is drawn: a seeded permutation (a
+swap-or-not shuffle, which is one to one for any number of blocks) puts a pass's blocks in places, and the first places
+are taken. A splitting tree deals the places to output shards: its root holds every source's exact block
 quota, and each node gives its left half a draw from the multivariate hypergeometric distribution (source by source,
 each a hypergeometric quantile of a hashed uniform number) and the rest to its right half, so quotas add up exactly at
-every level. A shard then owns, of each source, a range of permuted block positions that no other shard has, and its
-pieces are put in hashed order inside the shard.
+every level. A shard then owns, of each source, a range of places that no other shard has, the blocks drawn
+to them, and puts its pieces in hashed order.
 
 Positions in a stream are prefix sums over a tree of hash prefixes (256 children a node), so a source with a third of all
-rows is summed in many tasks.
+rows is summed in many tasks. Rows are told apart by hashes of all their columns, not by their ids.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, the last; equal rows are
-rows of their own; with no words at all every target and share is 0; an empty table gives an empty result; other columns
-are not read.
+rows of their own, and so are rows that share an id or have none; with no words at all every target and share is 0; an
+empty table gives an empty result; other columns are not read, and :func:`mixed_documents` passes them through.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, materialize
+from ._common import checked_broadcast, free_name, materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -35,15 +37,24 @@ LEAF_ROWS = 2000
 #: Sources (and shards' quota rows) are broadcast up to this many rows; more are joined by shuffling.
 BROADCAST_SOURCES = 20_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rounds of the shuffle that permutes a pass's blocks.
+ROUNDS = 8
+
+
+def order_key(id_col: str, text_col: str, seed: int) -> Column:
+    """A document's place in the hashed order of its source: md5 of seed, id and the text's md5."""
+    parts = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """doc_id, source, size (words) and the hashed order key of each document."""
+    """doc_id, source, size (words), the hashed order key, and twin, a hash of all columns, of each document."""
     return docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string"))).alias("key"),
+        order_key(id_col, text_col, seed).alias("key"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("twin"),
     )
 
 
@@ -88,7 +99,7 @@ def stream_positions(sized: DataFrame, targets: DataFrame, depth: int) -> DataFr
             up = starts.select("rank", F.col("node").alias("parent"), F.col("start").alias("base"))
             sums = sums.join(up, ["rank", "parent"]).withColumn("start", F.col("start") + F.col("base"))
         starts = sums.select("rank", "node", "start")
-    in_leaf = Window.partitionBy("rank", "leaf").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
+    in_leaf = Window.partitionBy("rank", "leaf").orderBy("key", "twin")
     rows = sized.withColumn("leaf", _prefix(depth)).withColumns({"seq": F.row_number().over(in_leaf), "ahead": F.coalesce(F.sum("size").over(in_leaf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     rows = rows.join(starts.withColumnRenamed("node", "leaf"), ["rank", "leaf"])
     return rows.withColumn("pos", F.col("start") + F.col("ahead")).drop("start", "ahead")
@@ -133,9 +144,30 @@ def split_quotas(nodes: DataFrame, seed: int) -> DataFrame:
     return nodes.selectExpr(f"inline({halves})")
 
 
+def quota_sql(block_words: int) -> dict[str, str]:
+    """SQL for what a source of ``source_size`` words gives towards ``target``: words, whole passes, blocks of a pass (whole
+    ones and all), whole blocks and words of the block in part in the last pass, and the quota of places."""
+    b = block_words
+    words = "cast(floor(target) as bigint)"
+    full = f"if(source_size = 0, 0L, {words} div source_size)"
+    rest = f"({words} - ({full}) * source_size)"
+    return {
+        "words": words, "full": full, "blocks": f"source_size div {b}", "all_blocks": f"cast(ceil(source_size / {b}) as bigint)",
+        "whole": f"{rest} div {b}", "part": f"{rest} % {b}", "quota": f"({full}) * cast(ceil(source_size / {b}) as bigint) + cast(ceil({rest} / {b}) as bigint)",
+    }
+
+
+def shuffled_sql(x: str, n: str, name: str, rounds: int = ROUNDS) -> str:
+    """SQL that permutes 0 to ``n`` - 1 by swap-or-not: in each round x and key - x (modulo n) change places or not, as a hash of the larger says."""
+    key = f"cast(conv(substr(md5(concat({name}, ':', hi)), 1, 12), 16, 10) as bigint) % {n}"
+    partner = f"pmod({key} - hx, {n})"
+    swap = f"substr(md5(concat({name}, ':', hi, ':', greatest(hx, {partner}))), 1, 1) >= '8'"
+    return f"aggregate(sequence(0, {rounds - 1}), {x}, (hx, hi) -> if({swap}, {partner}, hx))"
+
+
 def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """rank, place, shard: the shard of each permuted block position of each source. The splitting tree's leaves, unrolled."""
-    quotas = targets.select("rank", F.ceil(F.floor("target") / F.lit(block_words)).cast("long").alias("quota"))
+    """rank, place, shard: the shard of each place of each source's quota. The splitting tree's leaves, unrolled."""
+    quotas = targets.selectExpr("rank", f"{quota_sql(block_words)['quota']} as quota")
     root = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("q"), F.sum("quota").alias("n"))
     blocks = root.first()["n"] or 0
     depth = max(0, math.ceil(math.log2(max(1, blocks) / shard_blocks)))
@@ -149,7 +181,7 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """A row for each document: doc_id, size, rank, source_size, target, pos, leaf, seq; written once in the shared folder, without texts."""
+    """A row for each document: doc_id, size, rank, source_size, target, pos, leaf, seq, key, twin; written once in the shared folder, without texts."""
     sized = materialize(document_sizes(docs, id_col, source_col, text_col, seed), "sizes")
     rows = sized.count()
     depth = max(1, math.ceil(math.log(max(1, rows) / LEAF_ROWS, 256)))
@@ -161,21 +193,20 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def mix_pieces(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The mix: rank, leaf, seq, doc_id, copy, from_word, to_word, shard, shard_order. Words count from 0, the end is exclusive."""
+    """The mix: rank, leaf, seq, doc_id, key, twin, copy, from_word, to_word, shard, shard_order. Words count from 0, the end is exclusive."""
     targets = plan.groupBy("rank").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    every = plan.select("rank").distinct()  # ranks without words keep their place in the quota arrays
-    copies = plan.where(F.col("size") > 0).selectExpr(
-        "*", "cast(floor(target) as bigint) as words", f"explode(sequence(0, {max_repeats} - 1)) as copy"
-    ).selectExpr("*", "copy * source_size + pos as a", "least(copy * source_size + pos + size, words) as b").where("a < b")
-    pieces = copies.selectExpr("*", f"explode(sequence(a div {block_words}, (b - 1) div {block_words})) as block")
-    # An odd prime has no common factor with a quota below it, so this moves blocks to places one to one.
+    quota = quota_sql(block_words)
+    copies = plan.where(F.col("size") > 0).selectExpr("*", *[f"{quota[c]} as {c}" for c in ("words", "full", "blocks", "all_blocks", "whole", "part")], f"explode(sequence(0, {max_repeats} - 1)) as copy").where("copy * source_size < words")
+    pieces = copies.selectExpr("*", f"explode(sequence(pos div {block_words}, (pos + size - 1) div {block_words})) as block")
+    drawn = shuffled_sql("block", "blocks", f"concat('{seed}:', rank, ':', copy)")
+    # The block at the end of a pass, shorter than the others, keeps the last place.
+    pieces = pieces.selectExpr("*", f"if(block < blocks, {drawn}, blocks) as own")
+    end = f"if(copy < full or own < whole, (block + 1) * {block_words}, if(own = whole, block * {block_words} + part, 0))"
     pieces = pieces.selectExpr(
-        "rank", "leaf", "seq", "doc_id", "copy",
-        f"greatest(a, block * {block_words}) - (copy * source_size + pos) as from_word",
-        f"least(b, (block + 1) * {block_words}) - (copy * source_size + pos) as to_word",
-        f"pmod(block * 1000000007L + 12345, cast(ceil(words / {block_words}) as bigint)) as place",
-    )
-    dealt = deal_blocks(targets.join(every, "rank"), block_words, shard_blocks, seed)
+        "rank", "leaf", "seq", "doc_id", "key", "twin", "copy", "copy * all_blocks + own as place",
+        f"greatest(pos, block * {block_words}) - pos as from_word", f"least(pos + size, {end}) - pos as to_word",
+    ).where("from_word < to_word")
+    dealt = deal_blocks(targets, block_words, shard_blocks, seed)
     found = pieces.join(dealt, ["rank", "place"]).drop("place")
     return found.withColumn("shard_order", F.xxhash64(F.lit(seed), "rank", "leaf", "seq", "copy", "from_word"))
 
@@ -189,27 +220,42 @@ def taken_words(plan: DataFrame, pieces: DataFrame) -> DataFrame:
     return both.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def write_mix(docs: DataFrame, pieces: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the pieces with their documents' columns, a folder for each shard, in the shard's own hashed order."""
-    joined = pieces.drop("rank", "leaf", "seq").join(docs.withColumnRenamed(id_col, "doc_id"), "doc_id")
-    joined.repartition("shard").sortWithinPartitions("shard", "shard_order").write.partitionBy("shard").parquet(path)
+def fragments(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with those joined that follow each other in one copy of a document; shard and order are those of the first."""
+    one = Window.partitionBy("rank", "leaf", "seq", "copy").orderBy("from_word")
+    new = (F.col("from_word") != F.lag("to_word", 1, -1).over(one)).cast("int")
+    grouped = pieces.withColumn("new", new).withColumn("run", F.sum("new").over(one))
+    return grouped.groupBy("rank", "leaf", "seq", "copy", "run").agg(
+        F.first("key").alias("key"), F.first("twin").alias("twin"), F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"),
+        F.min(F.struct("from_word", "shard", "shard_order")).alias("at"),
+    ).select("key", "twin", "from_word", "to_word", "at.shard", "at.shard_order")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The beginning of ``text`` up to its ``n``-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+def words_between(text: Column, start: Column, end: Column) -> Column:
+    """The part of ``text`` from its ``start``-th word, counted from 0, up to its ``end``-th, with what stands between them."""
+    found = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(found, (start + 1).cast("int"), (end - start).cast("int")), "")
+    return F.when(start > 0, F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")).otherwise(part)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix as documents: each as often as it is taken, its last copy cut where the taken words end; the same columns.
+    """The mix as documents with the same columns: a row for each run of words that is taken of a document, as often as it
+    is taken. Whole passes give whole texts, white space around them included; drawn blocks may cut a text. Rows lie by shard, in the shard's order.
 
-    Rows with one id share what is taken of that id evenly. Rows without an id, and those with no words taken, are left out.
+    Rows that share an id, or have none, are rows of their own, each with what the plan takes of it; rows without words are not taken.
     """
     plan = plan_mix(docs, id_col, source_col, text_col)
-    taken = taken_words(plan, mix_pieces(plan)).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        (F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(taken, F.col(f"`{id_col}`") == F.col("__id"))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    text = F.col(f"`{text_col}`")
-    return rows.select(*[F.when(left < F.col("__size"), first_words(text, left)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    taken = fragments(mix_pieces(plan))
+    key, twin, shard, order, start, end = (free_name(docs.columns, x) for x in ("order_key", "row_twin", "shard", "shard_order", "from_word", "to_word"))
+    taken = taken.select(F.col("key").alias(key), F.col("twin").alias(twin), F.col("from_word").alias(start), F.col("to_word").alias(end), F.col("shard").alias(shard), F.col("shard_order").alias(order))
+    keyed = docs.withColumn(key, order_key(id_col, text_col, SEED)).withColumn(twin, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    # Equal rows have one text: it is joined once with what is taken of them all.
+    equal = materialize(plan.groupBy("key", "twin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias(key), F.col("twin").alias(twin)), "equal")
+    if not equal.isEmpty():
+        equal = checked_broadcast(equal, BROADCAST_SOURCES)
+        keyed = keyed.join(equal, [key, twin], "left_anti").unionByName(keyed.join(equal, [key, twin], "left_semi").dropDuplicates([key, twin]))
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0))
+    a, b, text = F.col(f"`{start}`"), F.col(f"`{end}`"), F.col(f"`{text_col}`")
+    cut = F.when((a == 0) & (b >= size), text).otherwise(words_between(text, a, b))
+    rows = keyed.join(taken, [key, twin]).select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], shard, order)
+    return rows.repartition(shard).sortWithinPartitions(shard, order).drop(shard, order)
