@@ -1,5 +1,7 @@
 """The corpus pipeline against a plain restatement of its stages."""
 
+from collections import Counter
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -10,36 +12,58 @@ import public_tokenizers
 from textloom.llm import bpe, pii, quality_rules, simhash_dedup
 from textloom.llm._common import prepare, read_table
 
+from test_llm_tables import brute_mix, one_of_each
+
 
-def test_pipeline(spark, sf):
-    docs = {r["doc_id"]: r for r in read_table(prepare(spark), sf, "documents").collect()}
-    good = {i: r for i, r in docs.items() if not quality_rules.measure(r["text"])[5]}
-    fps = {i: simhash_dedup.fingerprint(r["text"]) for i, r in good.items()}
-    comp = {i: i for i in fps}
-    for i in sorted(fps):
-        for j in sorted(fps):
-            if j < i and bin(fps[i] ^ fps[j]).count("1") <= 4 and comp[i] != comp[j]:
-                a, b = max(comp[i], comp[j]), min(comp[i], comp[j])
-                comp = {k: b if c == a else c for k, c in comp.items()}
-    kept = {i: pii.redact(good[i]["text"]) for i in comp if comp[i] == i}
+@pytest.fixture(scope="module")
+def coder():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        coder = bpe.WordBpe(f.read())
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert rows and {r["doc_id"] for r in rows} <= set(kept)
-    cut = 0
-    for r in rows:
-        whole = coder.encode(kept[r["doc_id"]])
-        assert r["ids"] == whole[: len(r["ids"])] or r["ids"][:-3] == whole[: len(r["ids"]) - 3]
-        assert r["decoded"] == coder.decode(r["ids"]) and r["n_tokens"] == len(r["ids"])
-        cut += len(r["ids"]) < len(whole)
-    assert cut <= len({r["source"] for r in docs.values()})
-
-
-def test_stages_keep_columns(spark, sf):
-    docs = read_table(prepare(spark), sf, "documents").limit(30)
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs_out = stage(spark, docs, sf)
-        assert docs_out.columns == docs.columns
-    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("1 = 0"), sf).count() == 0
+        return bpe.WordBpe(f.read())
+
+
+def after(rows, good, coder):
+    """Rows (doc_id, source, ids, decoded) of the stages behind the quality rules, from (id, text, source, ...) rows of those that ``good`` keeps."""
+    kept = [min(c, key=lambda r: (r[0] is None, r[0] or 0)) for c in one_of_each([r for r in rows if good(r)])]
+    mixed = brute_mix([(r[0], pii.redact(r[1]), r[2]) for r in kept], 4096)
+    out = Counter()
+    for (i, text, source), n in mixed.items():
+        ids = coder.encode(text)
+        out[(i, source, tuple(ids), coder.decode(ids))] += n
+    return out
+
+
+def result(df):
+    return Counter((r["doc_id"], r["source"], tuple(r["ids"]), r["decoded"]) for r in df.collect())
+
+
+def run_on(spark, docs):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        names = docs.columns
+        docs = stage(spark, docs, "")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == names
+            docs = corpus_pipeline.materialize(docs, "stage")
+    return docs
+
+
+def test_pipeline(spark, sf, coder):
+    docs = read_table(prepare(spark), sf, "documents")
+    keeps = {r["doc_id"] for r in quality_rules.judge_documents(docs).where("kept").collect()}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    want = after(rows, lambda r: r[0] in keeps, coder)
+    assert len(keeps) > 150 and sum(want.values()) > 100
+    assert result(corpus_pipeline.run(spark, sf)) == want
+
+
+def test_odd_rows(spark, coder):
+    """Null ids, ids that several texts share, equal rows, null texts and sources, and columns with the operators' own names."""
+    text = lambda a, n=30: " ".join(f"{a}{k}" for k in range(n))
+    rows = [
+        (None, text("a", 50), "s"), (None, text("b"), "s"), (1, text("c", 12), "s"), (1, text("d", 200), "s"), (5, text("e"), None), (3, text("e"), None),
+        (5, text("f"), "t"), (6, text("g"), "t"), (6, text("g"), "t"), (7, None, "t"), (8, "", None), (9, text("h") + " mail a.b@example.org now", "u"), (None, None, None),
+    ]
+    docs = spark.createDataFrame([(*r, 777, "no", 1, "x") for r in rows], "doc_id long, text string, source string, n_words long, kept string, lang int, shard string")
+    got = run_on(spark, docs)
+    assert result(got) == after(rows, lambda r: not quality_rules.measure(r[1])[5], coder)
+    assert {r["doc_id"] for r in got.collect()} >= {1, 3, 5, 6, 9}
+    assert run_on(spark, docs.where("1 = 0")).count() == 0
