@@ -477,6 +477,21 @@ def test_search(spark):
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(0, 1), (0, 2)}
 
 
+def test_search_takes_every_row(spark):
+    """Ids that several rows share, equal rows, equal vectors and vectors of two lengths, against all pairs of rows."""
+    rng = np.random.default_rng(2)
+    rows = [(i % 7 * 100 if i % 3 else i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(60)] + [(100, [1.0, 2.0]), (200, [1.0, 2.0]), (200, [1.0, 2.0]), (3, [4.0, 2.0]), (None, [1.0, 1.0])]
+    table = prepare(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vector_search.search(table).collect())
+    part = [(i, np.array(v)) for i, v in rows if i is not None and any(v)]
+    want = Counter()
+    for at, (q, v) in enumerate(part):
+        if q % 100 == 0:
+            near = sorted((float(np.linalg.norm(w - v)), i) for k, (i, w) in enumerate(part) if k != at and len(w) == len(v))[:10]
+            want.update((q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(near, 1))
+    assert got == want
+
+
 def test_search_recall_on_the_given_vectors(spark, sf):
     rows = read_table(prepare(spark), sf, "embeddings").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
