@@ -137,9 +137,48 @@ def test_language(spark, odd, none):
 
 
 def test_language_bound_is_kept(spark):
-    rows = spark.createDataFrame([(f"text number {i} de la", "fr") for i in range(400)], "text string, lang string")
-    langs, _, matrix = language_id.train(rows, max_rows=50)
-    assert langs == ["fr"] and np.isclose(np.exp(matrix).sum(), 1)
+    rows = spark.createDataFrame([(f"text number {i} de la", "fr") for i in range(4000)] + [("ein seltener Satz", "de")], "text string, lang string")
+    model = language_id.train(rows, max_rows=500)
+    assert model.langs == ["de", "fr"] and np.allclose(np.exp(model.matrix(0, 2)).sum(axis=0), 1, atol=1e-3)
+    spaces = {r["who"]: r["n"] for r in model.counts.where(F.col("what") == int(np.flatnonzero(language_id.ngram_buckets("x") * (np.arange(language_id.BUCKETS) == naive_bucket(" ")))[0])).collect()}
+    assert 100 < spaces[1] / 6 < 500 and spaces[0] >= 4  # a share of the many, all of the few
+
+
+def naive_bucket(gram):
+    code, whole = 0, (1 << 64) - 1
+    for n, c in enumerate(gram, 1):
+        code = (code * 0x9E3779B97F4A7C15 + ord(c) + n) & whole
+    return (code * 0xD6E8FEB86659FD93 & whole) >> 49
+
+
+def test_languages_by_naive_bayes(spark):
+    """Any number of languages, ties and rare ones, against the formula over dictionaries of n-grams."""
+    rng = np.random.default_rng(1)
+    word = lambda k: "".join(chr(97 + c) for c in np.random.default_rng(k).integers(0, 26, 5))
+    texts = [(f"l{k:03}", " ".join(word(10 * k + j) for j in rng.integers(0, 10, 12))) for k in range(300) for _ in range(1 + k % 2)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)] + [(9000 + i, t, lang) for i, (_, t) in enumerate(texts[:2]) for lang in ("tie a", "tie b")]
+    docs = prepare(spark).createDataFrame([(*r, "x", 0) for r in rows] + [(9999, "1 2 3", None, "x", 0), (9998, None, "l001", "x", 0)], "doc_id long, text string, lang string, best string, score int")
+
+    def grams(text):
+        clean = re.sub(r"[^a-z]+", " ", f" {text.lower()} ")
+        return Counter(naive_bucket(clean[i : i + n]) for n in range(1, 5) for i in range(len(clean) - n + 1))
+
+    sums, n = {}, Counter(lang for _, _, lang in rows)
+    for _, t, lang in rows:
+        sums.setdefault(lang, Counter()).update(grams(t))
+    masses = {x: sum(c.values()) for x, c in sums.items()}
+
+    def logs(text):
+        g = grams(text)
+        return {x: math.log(n[x] / len(rows)) + sum(c * math.log((sums[x][b] + 0.05) / (masses[x] + 0.05 * language_id.BUCKETS)) for b, c in g.items()) for x in sums}
+
+    got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.train(docs, max_rows=10**6), keep=["doc_id", "best"]).collect()}
+    assert len(got) == docs.count() - 2 and {got[9999]["lang_pred"], got[9998]["lang_pred"]} == {"und"}
+    for i, t, _ in rows[::23] + rows[-4:]:
+        want = logs(t)
+        top = max(want.values())
+        assert got[i]["lang_pred"] == min(x for x, v in want.items() if v > top - 1e-6)
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(v - top) for v in want.values()), rel=1e-3)
 
 
 def brute_components(rows):

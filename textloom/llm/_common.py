@@ -92,13 +92,13 @@ def free_name(taken: Iterable[str], wish: str) -> str:
     return wish
 
 
-def map_text(df: DataFrame, text_col: str, fn, fields: list[T.StructField], keep: list[str]) -> DataFrame:
-    """Runs ``fn(list of texts) -> list of columns`` batch by batch; returns the ``keep`` columns and the new ``fields``.
+def map_text(df: DataFrame, text_col: str, fn, fields: list[T.StructField], keep: list[str], also: Iterable[str] = ()) -> DataFrame:
+    """Runs ``fn(list of texts, *lists of also) -> list of columns`` batch by batch; returns the ``keep`` columns and the new ``fields``.
 
     Null texts reach ``fn`` as ``None``. The text itself goes back to the JVM only if it is among ``keep``.
     """
     prepare(df.sparkSession)
-    wanted = list(dict.fromkeys([*keep, text_col]))
+    wanted, also = list(dict.fromkeys([*keep, text_col, *also])), list(also)
     out = T.StructType([df.schema[c] for c in keep] + fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -106,7 +106,7 @@ def map_text(df: DataFrame, text_col: str, fn, fields: list[T.StructField], keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = fn(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            columns = fn(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text_col, *also)])
             made = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             made = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(made)]
             made += [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(len(keep) + i).type) for i, c in enumerate(columns)]
