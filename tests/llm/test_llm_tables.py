@@ -550,6 +550,21 @@ def test_pages(spark):
     assert [r["text"] for r in got[:2]] == ["", ""] and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_extraction_over_all_pages(spark, sf):
+    """The query over the whole table, against the blocks inside each page's article element."""
+    html = {r["page_id"]: (r["url"], r["html"]) for r in read_table(prepare(spark), sf, "pages").collect()}
+    rows = queries.op1_html_extraction(spark, sf).collect()
+    assert sorted((r["page_id"], r["url"]) for r in rows) == sorted((i, u) for i, (u, _) in html.items())
+    right = 0
+    for r in rows:
+        page = html[r["page_id"]][1] or ""
+        article = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)
+        want = "\n\n".join(b.text for b in html_extraction.leaf_blocks(article.group(1) if article else ""))
+        right += r["text"] == want
+        assert r["n_chars"] == len(r["text"])
+    assert right >= 0.99 * len(rows)
+
+
 def test_language_accuracy_on_held_out_texts(spark, sf):
     truth = {r["doc_id"]: r["lang"] for r in read_table(spark, sf, "documents").collect()}
     held = [r for r in queries.op2_language_id(spark, sf).collect() if r["held_out"] and truth[r["doc_id"]]]

@@ -1,6 +1,7 @@
 """The operators' cores against brute force, without Spark."""
 
 import random
+import time
 import re
 import string
 
@@ -182,6 +183,39 @@ def test_extraction(page, text):
     assert html_extraction.extract(page, html_extraction.trained_field()) == text
 
 
+LEAD = "brown fox isn't lazy and jumps over the fence of the old farm every morning. It does so for no reason that anyone knows."
+
+
+@pytest.mark.parametrize("start", ['The <a href="x>quick</a> ', "The <span class=a'>quick</span> ", "The <a href=x title=don't>quick</a> ", "The <a href='it\"s' class=\"b>c\">quick</a> ", "The <b x=>quick</b> ", "The <b/x/ =y>quick</b> "])
+def test_markup_never_reaches_the_text(start):
+    page = f"<html><body><article><h1>A title of this page</h1><p>{start}{LEAD}</p><p>Another paragraph that is long enough to be one, as it goes on.</p></article></body></html>"
+    field = html_extraction.trained_field()
+    assert html_extraction.extract(page, field) == f"A title of this page\n\nThe quick {LEAD}\n\nAnother paragraph that is long enough to be one, as it goes on."
+
+
+def test_comments_and_nameless_footers_are_left_out():
+    field = html_extraction.trained_field()
+    text = "The first paragraph says what there is to say, and it says it at some length. It goes on."
+    talk = "<section class='comments'><h3>Comments</h3><div class='comment'><p>Great article, thanks for it.</p></div></section>"
+    assert html_extraction.extract(f"<body><article><h1>Title here</h1><p>{text}</p><p>{text}</p>{talk}</article></body>", field) == f"Title here\n\n{text}\n\n{text}"
+    page = f"<body><div><h1>Title here</h1><p>{text}</p><p>{text}</p><p>{text}</p></div><div><p>Copyright 2020 all rights reserved</p></div></body>"
+    assert html_extraction.extract(page, field) == "\n\n".join(["Title here", text, text, text])
+
+
+HOSTILE = {
+    "tags in a quote": "<a " * 330_000 + '"', "open quotes": '<a href="x>y' * 90_000, "nested": "<div>x" * 170_000, "nested names": "".join(f"<div class=c{'abcdefgh'[k % 8]}{'xyz'[k % 3]}q>x" for k in range(55_000)),
+    "inline": "<i><div>" + "<b>" * 100_000 + "</i>x" * 100_000, "raw": "<script>" + "</script " * 100_000, "comments": "<!--" * 250_000, "many raw": "<svg></sv" * 110_000, "less": "<" * 1_000_000, "spaces": "<a" + " " * 1_000_000, "references": "&amp" * 250_000, "shuts": "</p" * 330_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(name):
+    field, page = html_extraction.trained_field(), HOSTILE[name]
+    began = time.process_time()
+    html_extraction.extract(page, field)
+    assert time.process_time() - began < 8
+
+
 def test_extraction_on_pages_not_trained_on():
     field, right, total = html_extraction.trained_field(), 0, 0
     for page, labels in html_extraction.labelled_pages(150, seed=99):
