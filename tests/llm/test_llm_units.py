@@ -83,6 +83,17 @@ def test_pii_adds_logins_accounts_and_secrets():
     assert pii.redact("mail a@b.c now") == "mail [EMAIL] now" and pii.redact(None) is None and pii.redact("") == ""
 
 
+def test_pii_finds_accounts_far_behind_a_cue_and_ipv6():
+    cue = "IBAN of the customer, ref AB12 3456: "
+    iban = "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    got = pii.find_spans(cue + iban + " thanks")["account"]
+    assert [(cue + iban)[a:b] for a, b in got] == [iban]
+    for text, want in (("My account is 12345678.", "12345678"), ("account number is: 998877665", "998877665")):
+        assert [text[a:b] for a, b in pii.find_spans(text)["account"]] == [want]
+    for text, want in (("host 2001:db8:85a3::8a2e:370:7334 up", ["2001:db8:85a3::8a2e:370:7334"]), ("at 12:30:45 std::vector a::b ::", []), ("fe80:1:2::1: and 2001:db8:0:0:0:0:0:1", ["fe80:1:2::1", "2001:db8:0:0:0:0:0:1"])):
+        assert [text[a:b] for a, b in pii.find_spans(text)["ipv6"]] == want
+
+
 def test_pii_leaves_clean_text_alone():
     text = "Version 1.2.3 of 2024-01-02 costs 1,234.50; see section 4.5.6 and page 12 + 3. The account of events is a secret token of thanks."
     assert not any(pii.find_spans(text).values())

@@ -5,7 +5,8 @@ and identifier cues. From each anchor a small deterministic parser grows the spa
 
 Kinds that agree with the base patterns (email, ip, card, phone; leftmost, not overlapping within a kind, failing matches
 dropped) come first; the method adds ``login`` (user information in a URL), ``account`` (an IBAN, checked by its remainder
-mod 97, or a number behind a cue such as "account" or "ssn") and ``secret`` (a long value behind a cue such as "token").
+mod 97, or a number behind a cue such as "account" or "ssn"), ``secret`` (a long value behind a cue such as "token") and
+``ipv6`` (an address of three groups or more).
 
 Defined cases: a null text is an empty text; equal texts give equal spans; an empty table gives an empty result; columns
 besides those used pass through where asked for.
@@ -14,6 +15,7 @@ besides those used pass through where asked for.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import ahocorasick
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from ._common import map_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "login", "account", "secret")
+KINDS = (*BASE_KINDS, "login", "account", "secret", "ipv6")
 
 Span = tuple[int, int]
 
@@ -40,14 +42,19 @@ _DOTTED = frozenset(_DIGITS + ".")
 _DOT_RUN = re.compile(r"[0-9.]*")
 _CARD_RUN = re.compile(r"(?:[\x20-]?[0-9])*")
 _USERINFO = re.compile(r"[^\s/@?#\"'<>]{1,256}@")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
-_CUED_NUMBER = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*[\"']?([A-Z]{0,3}[0-9][0-9-]{4,32}[0-9])(?![A-Za-z0-9])", re.I)
+#: How far behind its cue an IBAN may start.
+_IBAN_REACH = 48
+_HEX = frozenset("0123456789abcdefABCDEF:")
+_HEX_RUN = re.compile(r"[0-9a-fA-F:]{0,40}")
+_CUED_NUMBER = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#|is|ist|es|est)(?![A-Za-z]))*\s*[:=#]?\s*[\"']?([A-Z]{0,3}[0-9][0-9-]{4,32}[0-9])(?![A-Za-z0-9])", re.I)
 _CUED_SECRET = re.compile(r"[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/=.]{12,})")
 
 
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    words = {"@": ("at", 1)}
+    words = {"@": ("at", 1), ":": ("colon", 1)}
     for a in _DIGITS:
         words["+" + a] = ("plus", 2)
         for b in _DIGITS:
@@ -149,7 +156,7 @@ def find_spans(text: str | None) -> dict[str, list[Span]]:
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     if not text:
         return found
-    mail_end = ip_end = card_end = phone_end = 0
+    mail_end = ip_end = card_end = phone_end = colon_end = 0
     for what, start, end in anchors(text):
         if what == "digits":
             if start < card_end:
@@ -177,12 +184,18 @@ def find_spans(text: str | None) -> dict[str, list[Span]]:
             if m := _USERINFO.match(text, end):
                 if ":" in m.group():
                     found["login"].append((end, m.end() - 1))
+        elif what == "colon":
+            stop = found["ipv6"][-1][1] if found["ipv6"] else 0
+            if start >= max(stop, colon_end):
+                begin = _run_start(text, start, max(stop, start - 4), _HEX)
+                colon_end = _HEX_RUN.match(text, begin).end()
+                if span := _ipv6(text, begin, colon_end):
+                    found["ipv6"].append(span)
         elif what == "account":
             stop = found["account"][-1][1] if found["account"] else 0
             if start >= stop:
-                m = _IBAN.search(text, end, min(len(text), end + 48))
-                if m and (good := _longest_iban(m.group())):
-                    found["account"].append((m.start(), m.start() + len(good)))
+                if span := _cued_iban(text, end):
+                    found["account"].append(span)
                 elif m := _CUED_NUMBER.match(text, end):
                     found["account"].append(m.span(1))
         else:
@@ -193,6 +206,30 @@ def find_spans(text: str | None) -> dict[str, list[Span]]:
     return found
 
 
+def _cued_iban(text: str, at: int) -> Span | None:
+    """The first account number that passes its check among those that start within reach of a cue's end."""
+    for start in _IBAN_START.finditer(text, at, min(len(text), at + _IBAN_REACH + 4)):
+        m = _IBAN.match(text, start.start())
+        if m and (good := _longest_iban(m.group())):
+            return m.start(), m.start() + len(good)
+    return None
+
+
+def _ipv6(text: str, start: int, end: int) -> Span | None:
+    """A whole run of groups and colons that is an address of three groups or more; a colon behind it isn't part of it."""
+    while end > start and text[end - 1] == ":" and text[end - 2 : end] != "::":
+        end -= 1
+    around = text[start - 1 : start] + text[end : end + 1]
+    value = text[start:end]
+    if any(c.isalnum() for c in around) or sum(map(bool, value.split(":"))) < 3:
+        return None
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    return start, end
+
+
 def _longest_iban(run: str) -> str:
     for n in range(len(run), 14, -1):
         if run[n - 1] != " " and _iban_ok(run[:n]):
