@@ -101,7 +101,14 @@ def test_labels_and_variables(spark):
         files.read_survey(spark, "x.sav", "sav")
 
 
-def test_joins_are_broadcast_only_when_small(spark, monkeypatch):
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", 5)
-    plan = lambda df: spark.range(9).join(tables.small(df, 5), "id")._jdf.queryExecution().logical().toString()
+def test_cross_joins_are_broadcast_only_when_small(spark, monkeypatch):
+    plan = lambda df: spark.range(9).crossJoin(tables.counted(df, 5))._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(spark.range(5)).lower() and "broadcast" not in plan(spark.range(6)).lower()
+
+
+def test_scratch_is_cleared(spark):
+    rows = tables.cut(spark.range(3))
+    assert rows.count() == 3
+    tables.clear_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(rows.inputFiles()[0]).count()

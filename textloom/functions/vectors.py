@@ -38,6 +38,34 @@ def scaled(v: Column, p: int = 2) -> Column:
     return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
 
 
+def combined(a: Column, b: Column, how: str = "mean") -> Column:
+    """Two vectors of equal length as one: their mean, product, sum, or one behind the other. Where one is null, the other."""
+    ways = {"mean": lambda x, y: (x + y) / 2, "product": lambda x, y: x * y, "sum": lambda x, y: x + y}
+    if how == "concat":
+        both = F.concat(a, b)
+    elif how in ways:
+        both = F.zip_with(a, b, ways[how])
+    else:
+        raise ValueError(f"unknown way {how!r}: concat, {', '.join(ways)}")
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def masked_mean(states: Column, mask: Column) -> Column:
+    """The mean of the rows of ``states`` (an array of vectors) whose ``mask`` is not 0, scaled to length one; with no such row the zero vector."""
+    kept = F.filter(F.zip_with(states, mask, lambda s, m: F.struct(s.alias("s"), m.alias("m"))), lambda x: x["m"] != 0)
+    zero = F.transform(states[0], lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda sums, x: F.zip_with(sums, x["s"].cast("array<double>"), lambda p, q: p + q))
+    return scaled(F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1))))
+
+
+def representation(scores: DataFrame | None, vectors: DataFrame | None, by_scores: bool) -> tuple[DataFrame, bool]:
+    """(topic table, whether it is the scores'): the representation asked for, or the other if that isn't there."""
+    wanted, other = (scores, vectors) if by_scores else (vectors, scores)
+    if wanted is None and other is None:
+        raise ValueError("a model without scores and vectors has no representation")
+    return (wanted, by_scores) if wanted is not None else (other, not by_scores)
+
+
 def mean_vectors(rows: DataFrame, key: str, vector: str, weight: str | None = None) -> DataFrame:
     """key, vector: the mean vector of each group, weighted if asked.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..plans.tables import cut, ranked, small
+from ..plans.tables import counted, cut, ranked
 from . import pairwise, similarity
 
 NOISE = -1
@@ -250,9 +250,9 @@ def rescue_by_similarity(rows: DataFrame, cluster: str = "cluster", vector: str
 def rescue_by_strength(rows: DataFrame, strengths: DataFrame, key: str = "id", cluster: str = "cluster", threshold: float = 0.3, attempts: int = 1000) -> DataFrame:
     """The first ``attempts`` noise rows by key take their strongest cluster if its strength exceeds the threshold. The limit is the feature."""
     tried = rows.where(F.col(cluster) == NOISE).orderBy(key).limit(attempts).select(key)
-    best = strengths.join(small(tried), key, "left_semi").groupBy(key).agg(F.max(F.struct("strength", (-F.col("topic")).alias("n"))).alias("b"))
+    best = strengths.join(tried, key, "left_semi").groupBy(key).agg(F.max(F.struct("strength", (-F.col("topic")).alias("n"))).alias("b"))
     best = best.where(F.col("b.strength") > threshold).select(key, (-F.col("b.n")).alias("__to"))
-    return rows.join(small(best), key, "left").withColumn(cluster, F.coalesce("__to", cluster)).drop("__to")
+    return rows.join(best, key, "left").withColumn(cluster, F.coalesce("__to", cluster)).drop("__to")
 
 
 def filter_and_remap(rows: DataFrame, cluster: str = "cluster", label: str = "label") -> DataFrame:
@@ -260,7 +260,7 @@ def filter_and_remap(rows: DataFrame, cluster: str = "cluster", label: str = "la
     real = rows.where(F.col(cluster) != NOISE).groupBy(cluster).agg(F.bool_and(F.lower(label) == "na").alias("na")).where(~F.col("na"))
     to = F.row_number().over(Window.orderBy(cluster)) - 1
     mapping = real.select(F.col(cluster).alias("__from"), to.cast("long").alias("__to"))
-    return rows.join(small(mapping), F.col(cluster) == F.col("__from"), "left").withColumn(cluster, F.col("__to")).drop("__from", "__to")
+    return rows.join(mapping, F.col(cluster) == F.col("__from"), "left").withColumn(cluster, F.col("__to")).drop("__from", "__to")
 
 
 def quality(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -272,6 +272,21 @@ def quality(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     return total.join(of_sizes).select(noise.alias("noise_ratio"), (1 - noise).alias("coverage"), "clusters", "mean_size", "size_variance")
 
 
+def memberships(rows: DataFrame, centers: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """key, topic, probability: each row's share in each cluster, by the inverse of its distance to the cluster's centre; a row on a centre is wholly its. Rows times clusters, the long form of a matrix."""
+    c = counted(centers.select("topic", v.doubles(F.col("vector")).alias("__c")))
+    far = F.sqrt(F.aggregate(F.zip_with(v.doubles(F.col(vector)), "__c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    each = rows.select(key, vector).crossJoin(c).select(key, "topic", far.alias("far"))
+    least = F.min("far").over(Window.partitionBy(key))
+    weight = F.when(least == 0, (F.col("far") == 0).cast("double")).otherwise(1 / F.col("far"))
+    return each.withColumn("w", weight).select(key, "topic", (F.col("w") / F.sum("w").over(Window.partitionBy(key))).alias("probability"))
+
+
+def strength(members: DataFrame, key: str) -> DataFrame:
+    """key, topic, probability: each row's strongest cluster."""
+    return members.groupBy(key).agg(F.max(F.struct("probability", (-F.col("topic")).alias("n"))).alias("b")).select(key, (-F.col("b.n")).alias("topic"), F.col("b.probability").alias("probability"))
+
+
 def quality_score(silhouette, coverage, noise):
     return 0.4 * (silhouette + 1) / 2 + 0.3 * coverage + 0.3 * (1 - noise)
 
@@ -279,7 +294,7 @@ def quality_score(silhouette, coverage, noise):
 def representatives(rows: DataFrame, cluster: str, text: str, vector: str, n: int = 5, digits: int = 9) -> DataFrame:
     """cluster, rank, text, similarity: the ``n`` distinct texts nearest to their cluster's centroid."""
     centers = v.mean_vectors(rows, cluster, vector).withColumnRenamed("vector", "__c")
-    scored = rows.join(small(centers), cluster).withColumn("similarity", F.round(v.cosine(v.doubles(F.col(vector)), F.col("__c")), digits))
+    scored = rows.join(centers, cluster).withColumn("similarity", F.round(v.cosine(v.doubles(F.col(vector)), F.col("__c")), digits))
     once = scored.groupBy(cluster, text).agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy(cluster).orderBy(F.desc("similarity"), text)
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
@@ -300,7 +315,7 @@ def mmr_order(document: np.ndarray, words: np.ndarray, diversity: float, n: int)
 
 def mmr(rows: DataFrame, topic: str, item: str, vector: str, centers: DataFrame, diversity: float = 0.1, n: int = 10) -> DataFrame:
     """topic, rank, item: a diverse choice of each topic's candidates, which are a bounded number of rows a topic."""
-    joined = rows.join(small(centers.select(topic, F.col("vector").alias("__c"))), topic)
+    joined = rows.join(centers.select(topic, F.col("vector").alias("__c")), topic)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)

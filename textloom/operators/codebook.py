@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import small
+from ..plans.tables import counted
 
 OTHER_THEME = "99"
 OTHER_CONCEPT = "99.1"
@@ -26,7 +26,7 @@ def by_evidence(evidence: DataFrame) -> DataFrame:
 def binary_scores(clusters: DataFrame, concepts: DataFrame, evidence: DataFrame) -> DataFrame:
     """cluster, concept, confidence for every cluster and concept: 1 where evidence says so, else 0. Concepts are few and counted before they are broadcast."""
     said = evidence.select("cluster", "concept", F.lit(1.0).alias("confidence")).distinct()
-    return clusters.select("cluster").crossJoin(small(concepts.select("concept"))).join(said, ["cluster", "concept"], "left").fillna(0.0, ["confidence"])
+    return clusters.select("cluster").crossJoin(counted(concepts.select("concept"))).join(said, ["cluster", "concept"], "left").fillna(0.0, ["confidence"])
 
 
 def merged(assigned: DataFrame) -> DataFrame:
@@ -44,14 +44,14 @@ def with_other(concepts: DataFrame, unassigned: DataFrame) -> DataFrame:
 
 def final_labels(clusters: DataFrame, assigned: DataFrame, codebook: DataFrame) -> DataFrame:
     """cluster, theme, concept_id: every cluster's place in the codebook; without one, Other."""
-    named = assigned.join(small(codebook.select(F.col("label").alias("concept"), "theme", "concept_id")), "concept", "left")
-    out = clusters.select("cluster").join(small(named), "cluster", "left")
+    named = assigned.join(codebook.select(F.col("label").alias("concept"), "theme", "concept_id"), "concept", "left")
+    out = clusters.select("cluster").join(named, "cluster", "left")
     return out.select("cluster", F.coalesce("theme", F.lit(OTHER_THEME)).alias("theme"), F.coalesce("concept_id", F.lit(OTHER_CONCEPT)).alias("concept_id"))
 
 
 def segment_codes(segments: DataFrame, labels: DataFrame) -> DataFrame:
     """Segments with theme, concept and code as one-entry maps, as they are stored with answers."""
-    joined = segments.join(small(labels), "cluster", "left")
+    joined = segments.join(labels, "cluster", "left")
     return joined.withColumns({"theme_map": F.create_map(F.col("theme"), F.lit("theme")), "code_map": F.create_map(F.col("concept_id"), F.col("cluster").cast("string"))})
 
 

@@ -1,6 +1,6 @@
 """Class-based TF-IDF: how typical a term is of a topic against all topics.
 
-Everything stays in long form, (topic, term, n). Totals by term are a window over rows already grouped, totals by topic a
+Everything stays in long form, (topic, term, n), written once before it is used several times. Totals by term are a window over rows already grouped, totals by topic a
 small aggregate joined back; nothing is concatenated or collected.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..plans.tables import small
+from ..plans.tables import cut, ranked
 
 
 def bag_of_words(docs: DataFrame, topic: str, text: str = "text", **options) -> DataFrame:
@@ -22,13 +22,15 @@ def bigrams_across(docs: DataFrame, topic: str, order: str, text: str = "text")
     """topic, term, n of pairs of neighbouring tokens, where a topic's documents follow one another by ``order``.
 
     Pairs inside a document are formed there; the one pair across a border comes from the documents' first and last
-    tokens, a row for each document, so a topic's texts are never put together.
+    tokens, a row for each document, which are numbered in order by ranges, so a topic's texts are never put together and
+    no task gets all documents of a topic.
     """
-    words = docs.select(F.col(topic).alias("topic"), F.col(order).alias("__o"), tokens.tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    words = cut(docs.select(F.col(topic).alias("topic"), F.col(order).alias("__o"), tokens.tokens(F.col(text)).alias("w")).where(F.size("w") > 0))
     inner = words.select("topic", F.explode(tokens.ngrams(F.col("w"), 2, 2)).alias("term"))
     edge = words.select("topic", "__o", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"))
-    after = F.lead("first").over(Window.partitionBy("topic").orderBy("__o"))
-    border = edge.select("topic", F.concat_ws(" ", "last", after).alias("term"), after.alias("after")).where("after is not null").select("topic", "term")
+    edge = cut(ranked(edge, "topic", "__o"))
+    after = edge.select(F.col("topic").alias("__t"), (F.col("rank") - 1).alias("__r"), F.col("first").alias("after"))
+    border = edge.join(after, F.col("topic").eqNullSafe(F.col("__t")) & (F.col("rank") == F.col("__r"))).select("topic", F.concat_ws(" ", "last", "after").alias("term"))
     return inner.unionByName(border).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -43,13 +45,14 @@ def score(bow: DataFrame, bm25: bool = False, sqrt: bool = False, seeds: DataFra
 
     ``bm25`` and ``sqrt`` choose the variants; ``seeds`` (term, multiplier) raises the weight of given terms.
     """
+    bow = cut(bow)
     sizes = bow.groupBy("topic").agg(F.sum("n").alias("size"))
     mean = F.floor(F.avg("size").over(Window.partitionBy()))
     sizes = sizes.withColumn("mean", mean)
-    rows = bow.withColumn("total", F.sum("n").over(Window.partitionBy("term"))).join(small(sizes), "topic")
+    rows = bow.withColumn("total", F.sum("n").over(Window.partitionBy("term"))).join(sizes, "topic")
     rows = rows.withColumn("idf", inverse_frequency(F.col("mean"), F.col("total"), bm25))
     if seeds is not None:
-        rows = rows.join(small(seeds), "term", "left").withColumn("idf", F.col("idf") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
+        rows = rows.join(seeds, "term", "left").withColumn("idf", F.col("idf") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
     tf = F.col("n") / F.col("size")
     return rows.withColumn("score", (F.sqrt(tf) if sqrt else tf) * F.col("idf")).select("topic", "term", "n", "total", "idf", "score")
 

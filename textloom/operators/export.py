@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import small
 from .quality import DONT_KNOW, NO_ANSWER, SYSTEM_MISSING
 
 MISSING_COLUMNS = {DONT_KNOW: "USER_MISSING_97", SYSTEM_MISSING: "SYSTEM_MISSING_98", NO_ANSWER: "NO_ANSWER_99"}
@@ -47,7 +46,7 @@ def several(assigned: DataFrame, key: str) -> DataFrame:
 
 def in_codebook(assigned: DataFrame, concepts: DataFrame) -> DataFrame:
     """Assignments whose (theme, concept) stands in the codebook."""
-    return assigned.join(small(concepts.select("theme", "concept").distinct()), ["theme", "concept"], "left_semi")
+    return assigned.join(concepts.select("theme", "concept").distinct(), ["theme", "concept"], "left_semi")
 
 
 def id_consistency(original: DataFrame, processed: DataFrame, key: str) -> DataFrame:
@@ -67,10 +66,33 @@ def fractional_ids(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count_if(F.col(key).cast("double") != F.floor(F.col(key).cast("double"))).alias("fractional"), F.count(F.lit(1)).alias("total"))
 
 
+def full_codebook(themes: DataFrame, concepts: DataFrame) -> DataFrame:
+    """level, id, numeric_id, label, description, parent_id, full_path: a codebook's sheet, themes and their concepts by number.
+
+    A theme's number is its id, a concept's the theme's times 100 and its own place; ids that are no numbers have none. A missing description is empty.
+    """
+    described = lambda df: df.withColumn("description", F.coalesce("description", F.lit(""))) if "description" in df.columns else df.withColumn("description", F.lit(""))
+    a, b = described(themes), described(concepts)
+    top = a.select(F.lit("Theme").alias("level"), F.col("theme").alias("id"), F.expr("try_cast(theme AS bigint)").alias("numeric_id"), "label", "description", F.lit("").alias("parent_id"), F.col("label").alias("full_path"))
+    named = b.join(a.select("theme", F.col("label").alias("theme_label")), "theme")
+    number = F.expr("try_cast(theme AS bigint) * 100 + try_cast(substring_index(concept, '.', -1) AS bigint)")
+    path = F.concat_ws(" > ", "theme_label", "label")
+    below = named.select(F.lit("Concept").alias("level"), F.col("concept").alias("id"), number.alias("numeric_id"), "label", "description", F.col("theme").alias("parent_id"), path.alias("full_path"))
+    return top.unionByName(below)
+
+
+def hierarchy_rows(codebook: DataFrame, counts: DataFrame) -> DataFrame:
+    """id, parent_id, depth, label, frequency, children: a tree of themes and concepts with what each holds, for a hierarchy's sheet."""
+    kids = codebook.where("parent_id <> ''").groupBy("parent_id").agg(F.count(F.lit(1)).alias("children")).withColumnRenamed("parent_id", "id")
+    depth = F.when(F.col("level") == "Theme", 0).otherwise(1).cast("long")
+    joined = codebook.join(counts.select("level", "id", "frequency"), ["level", "id"], "left").join(kids, "id", "left")
+    return joined.select("id", "parent_id", depth.alias("depth"), "label", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"), F.coalesce("children", F.lit(0)).cast("long").alias("children"))
+
+
 def codebook_rows(themes: DataFrame, concepts: DataFrame) -> DataFrame:
     """level, id, label, parent_id, full_path (``theme > concept``)."""
     top = themes.select(F.lit("Theme").alias("level"), F.col("theme").alias("id"), "label", F.lit("").alias("parent_id"), F.col("label").alias("full_path"))
-    named = concepts.join(small(themes.select("theme", F.col("label").alias("theme_label"))), "theme")
+    named = concepts.join(themes.select("theme", F.col("label").alias("theme_label")), "theme")
     below = named.select(F.lit("Concept").alias("level"), F.col("concept").alias("id"), "label", F.col("theme").alias("parent_id"), F.concat_ws(" > ", "theme_label", "label").alias("full_path"))
     return top.unionByName(below)
 

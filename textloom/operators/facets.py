@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..plans.tables import small
+from ..plans.tables import cut
 
 
 def bins(rows: DataFrame, stamp: str, n: int) -> DataFrame:
@@ -31,17 +31,18 @@ def facet_words(docs: DataFrame, scored: DataFrame, facet: str, topic: str, text
     rows = docs.withColumn("topic", F.col(topic))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("frequency"))
     bow = rows.select(*keys, F.explode(tokens.tokens(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    bow = cut(bow)
     overall = F.col("score") / F.sum("score").over(Window.partitionBy("topic"))
-    fitted = scored.select("topic", "term", "idf", overall.alias("overall"))
+    fitted = cut(scored.select("topic", "term", "idf", overall.alias("overall")))
     own = bow.join(fitted, ["topic", "term"])
     size = bow.groupBy(*keys).agg(F.sum("n").alias("size"))
-    own = own.join(small(size), keys).withColumn("value", F.col("n") / F.col("size") * F.col("idf"))
+    own = own.join(size, keys).withColumn("value", F.col("n") / F.col("size") * F.col("idf"))
     if tuning:
         sums = own.groupBy(*keys).agg(F.sum("value").alias("sum"))
-        own = own.join(small(sums), keys).withColumn("value", (F.col("overall") + F.col("value") / F.col("sum")) / 2)
+        own = own.join(sums, keys).withColumn("value", (F.col("overall") + F.col("value") / F.col("sum")) / 2)
         order = Window.partitionBy("topic").orderBy(F.desc(F.round(F.col("overall") / 2, digits)), "term")
         best = fitted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-        lacking = counts.select(*keys).join(small(best.select("topic", "term", (F.col("overall") / 2).alias("value"))), "topic").join(bow.select(*keys, "term"), [*keys, "term"], "left_anti")
+        lacking = counts.select(*keys).join(best.select("topic", "term", (F.col("overall") / 2).alias("value")), "topic").join(bow.select(*keys, "term"), [*keys, "term"], "left_anti")
         own = own.select(*keys, "term", "value").unionByName(lacking.select(*keys, "term", "value"))
     order = Window.partitionBy(*keys).orderBy(F.desc("value"), "term")
     top = own.withColumn("value", F.round("value", digits)).where("value > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

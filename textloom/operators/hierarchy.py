@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..plans.tables import small
+from ..plans.tables import cut as written
 from . import ctfidf, similarity
 
 #: Topics that a tree is built over.
@@ -113,9 +113,9 @@ def tree(spark: SparkSession, centers: DataFrame, method: str = "ward") -> DataF
 def name_parents(merges: DataFrame, bow: DataFrame, idf: DataFrame, n: int = 5) -> DataFrame:
     """step, name: the ``n`` best words of each merge's topics together, scored with the fitted idf. One aggregation for all merges."""
     leaves = merges.select("step", F.explode("topics").alias("topic"))
-    counts = bow.join(small(leaves), "topic").groupBy("step", "term").agg(F.sum("n").alias("n"))
+    counts = bow.join(leaves, "topic").groupBy("step", "term").agg(F.sum("n").alias("n"))
     sizes = counts.groupBy("step").agg(F.sum("n").alias("size"))
-    scored = counts.join(idf, "term").join(small(sizes), "step").withColumn("score", F.col("n") / F.col("size") * F.col("idf"))
+    scored = counts.join(idf, "term").join(sizes, "step").withColumn("score", F.col("n") / F.col("size") * F.col("idf"))
     top = ctfidf.top_words(scored, n, by="step").groupBy("step").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("r"))
     return top.select("step", F.array_join(F.transform("r", lambda x: x["term"]), "_").alias("name"))
 
@@ -146,6 +146,30 @@ def text_tree(merges: DataFrame, names: dict[int, str] | None = None) -> str:
     return "\n".join(out)
 
 
+def merge_all(models: list[tuple[DataFrame, DataFrame]], least: float = 0.7) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(vectors, sizes, mappings) of models folded into the first, one after another; each is (vectors, sizes: topic, size). Sizes of topics that become one are added up."""
+    vectors, sizes = models[0]
+    mappings = [vectors.select(F.col("topic").alias("from_topic"), F.col("topic").alias("to_topic"))]
+    for more, counts in models[1:]:
+        vectors, mapping = merge_models(vectors, more, least)
+        vectors, mapping = written(vectors), written(mapping)
+        moved = counts.join(mapping, F.col("topic") == F.col("from_topic")).select(F.col("to_topic").alias("topic"), "size")
+        sizes = written(sizes.select("topic", "size").unionByName(moved).groupBy("topic").agg(F.sum("size").alias("size")))
+        mappings.append(mapping)
+    return vectors, sizes, mappings
+
+
+def auto_mapping(centers: DataFrame, min_size: int = 2) -> DataFrame:
+    """from_topic, to_topic: topics whose vectors, scaled to length one, lie densely together become the smallest of them; the rest stay."""
+    from . import clusters
+
+    unit = centers.where("topic <> -1").select("topic", v.scaled(v.doubles(F.col("vector"))).alias("vector"))
+    found = written(clusters.density_clusters(unit, "topic", "vector", min_size))
+    first = found.where("cluster >= 0").groupBy("cluster").agg(F.min("topic").alias("to_topic"))
+    joined = found.join(first, "cluster", "left")
+    return joined.select(F.col("topic").alias("from_topic"), F.coalesce("to_topic", "topic").alias("to_topic"))
+
+
 def merge_models(first: DataFrame, second: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(merged vectors, mapping of the second's topics): topics of the second that are like one of the first become it, others are added behind."""
     from pyspark.sql import Window

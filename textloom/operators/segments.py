@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import finalize
+
 FAILED = "NA"
 BROKEN = "PROCESSING_ERROR"
 
@@ -42,3 +44,15 @@ def flatten(nested: DataFrame, key: str, texts: list[str], missing: str = FAILED
     """The rows of :func:`nest` again; null texts become ``missing``."""
     rows = nested.select(key, F.explode("segments").alias("s")).select(key, "s.*")
     return rows.withColumns({c: F.coalesce(c, F.lit(missing)) for c in texts})
+
+
+def described(segments: DataFrame, text: str = "segment", out: str = "description") -> DataFrame:
+    """``segments`` with a description: the finished text of the segment. The rule where no language model is given."""
+    return segments.withColumn(out, finalize(F.col(text)))
+
+
+def with_fallbacks(rows: DataFrame, answer: str, failed: str | None = None, empty: str = FAILED, error: str = BROKEN) -> DataFrame:
+    """``rows`` whose ``answer`` is whole: ``error`` where the batch failed (a boolean column), ``empty`` where nothing came back for the row."""
+    lost = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
+    blank = F.col(answer).isNull() | (F.trim(answer) == "")
+    return rows.withColumn(answer, F.when(lost, F.lit(error)).when(blank, F.lit(empty)).otherwise(F.col(answer)))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..plans.tables import small
 
 
 def lexicon(texts: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
@@ -25,15 +24,24 @@ def unknown_words(texts: DataFrame, words: DataFrame, text: str = "text") -> Dat
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words.select("word"), "word", "left_anti")
 
 
-def deletion_keys(word: Column) -> Column:
-    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), cut))
+def deletion_keys(word: Column, letters: int = 1) -> Column:
+    """A word and its forms with up to ``letters`` letters left out."""
+
+    def shorter(w: Column) -> Column:
+        one = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return F.when(F.length(w) > 0, one).otherwise(F.array().cast("array<string>"))
+
+    level = keys = F.array(word)
+    for _ in range(letters):
+        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+        keys = F.concat(keys, level)
+    return F.array_distinct(keys)
 
 
 def suggestions(unknown: DataFrame, words: DataFrame, furthest: int = 1) -> DataFrame:
-    """word, suggestion, distance, n: lexicon words within ``furthest`` edits (1 or 2 letters by deletion keys)."""
-    a = unknown.select("word", F.explode(deletion_keys(F.col("word"))).alias("k"))
-    b = words.select(F.col("word").alias("suggestion"), "n", F.explode(deletion_keys(F.col("word"))).alias("k"))
+    """word, suggestion, distance, n: lexicon words within ``furthest`` edits. Words so near share a form with that many letters left out."""
+    a = unknown.select("word", F.explode(deletion_keys(F.col("word"), furthest)).alias("k"))
+    b = words.select(F.col("word").alias("suggestion"), "n", F.explode(deletion_keys(F.col("word"), furthest)).alias("k"))
     pairs = a.join(b, "k").select("word", "suggestion", "n").distinct()
     return pairs.withColumn("distance", F.levenshtein("word", "suggestion")).where(F.col("distance") <= furthest)
 
@@ -44,6 +52,31 @@ def best_suggestion(found: DataFrame) -> DataFrame:
     return found.withColumn("k", F.row_number().over(order)).where("k = 1").select("word", "suggestion", "distance")
 
 
+def expanded(dictionary: DataFrame, rules: DataFrame) -> DataFrame:
+    """word: the words of a dictionary (word, flags: one letter a flag) with all forms that affix rules give.
+
+    ``rules``: flag, kind (PFX or SFX), strip, add, condition (a regular expression, anchored at the affix's side), cross. Forms
+    with a prefix and a suffix are made where both rules have ``cross``. Empty ``strip`` takes nothing off.
+    """
+    flagged = dictionary.select("word", F.explode(F.filter(F.split("flags", ""), lambda x: x != "")).alias("flag"))
+
+    def apply(words: DataFrame, kind: str) -> DataFrame:
+        own = rules.where(F.col("kind") == kind)
+        met = words.join(own, "flag")
+        if kind == "SFX":
+            fits = F.expr("regexp(word, concat('(?:', condition, ')$')) and endswith(word, strip) and length(word) > length(strip)")
+            form = F.expr("concat(substring(word, 1, length(word) - length(strip)), `add`)")
+        else:
+            fits = F.expr("regexp(word, concat('^(?:', condition, ')')) and startswith(word, strip) and length(word) > length(strip)")
+            form = F.expr("concat(`add`, substring(word, length(strip) + 1))")
+        return met.where(fits).select("word", form.alias("form"), "cross")
+
+    suffixed, prefixed = apply(flagged, "SFX"), apply(flagged, "PFX")
+    both = suffixed.where("cross").select(F.col("word").alias("root"), F.col("form").alias("word")).join(flagged.withColumnRenamed("word", "root"), "root").select("word", "flag")
+    crossed = apply(both, "PFX").where("cross")
+    return dictionary.select("word").unionByName(suffixed.select(F.col("form").alias("word"))).unionByName(prefixed.select(F.col("form").alias("word"))).unionByName(crossed.select(F.col("form").alias("word"))).distinct()
+
+
 def compound_splits(unknown: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
     """word, left_part, right_part: the split into two lexicon words of ``least`` letters and more with the longest left part."""
     cuts = unknown.where(F.length("word") >= 2 * least).select("word", F.explode(F.sequence(F.lit(least), F.length("word") - least)).alias("i"))
@@ -56,7 +89,7 @@ def compound_splits(unknown: DataFrame, words: DataFrame, least: int = 4) -> Dat
 def mark_unknown(texts: DataFrame, unknown: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, word, marked: each unknown word of a text, and the text with its first occurrence in angle brackets. Words of one repeated letter are skipped."""
     found = texts.select(key, text, F.explode(F.array_distinct(tk.tokens(F.col(text)))).alias("word")).where(~F.col("word").rlike(r"^(.)\1*$"))
-    met = found.join(small(unknown.select("word")), "word", "left_semi")
+    met = found.join(unknown.select("word"), "word", "left_semi")
     at = F.expr(f"regexp_instr(lower({text}), concat('(?<![\\\\p{{L}}\\\\p{{N}}_])', word, '(?![\\\\p{{L}}\\\\p{{N}}_])'))")
     return met.withColumn("at", at).where("at > 0").select(key, "word", F.expr(f"overlay({text} placing concat('<', word, '>') from at for length(word))").alias("marked"))
 
@@ -72,19 +105,25 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, text: str = "tex
 def greedy_batches(rows: DataFrame, shard: str, order: str, cost: str, budget: int, most: int) -> DataFrame:
     """``rows`` with ``batch``: rows in order fill a batch up to ``budget`` and ``most`` rows; a row beyond the budget is alone.
 
-    Filling is one step after another, so it is done shard by shard; shards are of bounded size.
+    Filling is one step after another, so it is done shard by shard, over a stream of sorted rows of which a few are in memory at a time.
     """
-    import pandas as pd
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, batch, used, n = [], 0, 0, 0
-        for c in pdf[cost]:
-            if n and (used + c > budget or n >= most):
-                batch, used, n = batch + 1, 0, 0
-            used, n = used + c, n + 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy(shard).applyInPandas(fill, fields + ", batch long")
+    import pyarrow as pa
+
+    at = [rows.columns.index(c) for c in (shard, cost)]
+
+    def fill(batches):
+        now, batch, used, n = (), 0, 0, 0
+        for rows in batches:
+            out = []
+            for s, c in zip(*(rows.column(i).to_pylist() for i in at)):
+                c = c or 0
+                if now != (s,):
+                    now, batch, used, n = (s,), 0, 0, 0
+                elif used + c > budget or n >= most:
+                    batch, used, n = batch + 1, 0, 0
+                used, n = used + c, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
+
+    schema = rows.schema.add("batch", "long")
+    return rows.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(fill, schema)

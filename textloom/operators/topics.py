@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import small
 
 OUTLIER = -1
 
@@ -24,13 +23,13 @@ def renumbering(topic_sizes: DataFrame) -> DataFrame:
 def compose(first: DataFrame, then: DataFrame) -> DataFrame:
     """from_topic, to_topic of two mappings in a row; what the second doesn't know becomes an outlier."""
     after = then.select(F.col("from_topic").alias("to_topic"), F.col("to_topic").alias("__end"))
-    return first.join(small(after), "to_topic", "left").select("from_topic", F.coalesce("__end", F.lit(OUTLIER)).alias("to_topic"))
+    return first.join(after, "to_topic", "left").select("from_topic", F.coalesce("__end", F.lit(OUTLIER)).alias("to_topic"))
 
 
 def remap(docs: DataFrame, mapping: DataFrame, topic: str = "topic") -> DataFrame:
     """``docs`` with topics renamed; unknown topics become outliers."""
     m = mapping.select(F.col("from_topic").alias("__from"), F.col("to_topic").alias("__to"))
-    return docs.join(small(m), F.col(topic) == F.col("__from"), "left").withColumn(topic, F.coalesce("__to", F.lit(OUTLIER))).drop("__from", "__to")
+    return docs.join(m, F.col(topic) == F.col("__from"), "left").withColumn(topic, F.coalesce("__to", F.lit(OUTLIER))).drop("__from", "__to")
 
 
 def remap_weights(weights: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -57,20 +56,20 @@ def label(topic: Column, words: Column, n: int = 4, separator: str = "_", word_l
 
 def custom_labels(labels: DataFrame, given: DataFrame) -> DataFrame:
     """topic, label: the given label of a topic, or else the label it has."""
-    return labels.join(small(given.withColumnRenamed("label", "given")), "topic", "left").select("topic", F.coalesce("given", "label").alias("label"))
+    return labels.join(given.withColumnRenamed("label", "given"), "topic", "left").select("topic", F.coalesce("given", "label").alias("label"))
 
 
 def topic_info(topic_sizes: DataFrame, words: DataFrame) -> DataFrame:
     """topic, count, name, representation."""
     named = words.select("topic", label(F.col("topic"), F.col("words")).alias("name"), F.col("words").alias("representation"))
-    return topic_sizes.join(small(named), "topic", "left").withColumnRenamed("size", "count")
+    return topic_sizes.join(named, "topic", "left").withColumnRenamed("size", "count")
 
 
 def document_info(docs: DataFrame, info: DataFrame, representatives: DataFrame, topic: str = "topic") -> DataFrame:
     """``docs`` with their topic's name and words and whether they represent it (``representatives`` has doc_id)."""
-    joined = docs.join(small(info.drop("count")), topic, "left")
+    joined = docs.join(info.drop("count"), topic, "left")
     marks = representatives.select("doc_id", F.lit(True).alias("representative")).distinct()
-    return joined.join(small(marks), "doc_id", "left").withColumn("representative", F.coalesce("representative", F.lit(False)))
+    return joined.join(marks, "doc_id", "left").withColumn("representative", F.coalesce("representative", F.lit(False)))
 
 
 def outliers(docs: DataFrame, topic: str = "topic") -> DataFrame:

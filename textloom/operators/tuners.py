@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions import vectors as v
-from ..plans.tables import small
+from ..plans.tables import cut
 
 Tuner = Callable[[DataFrame], DataFrame]
 
@@ -20,20 +20,21 @@ Tuner = Callable[[DataFrame], DataFrame]
 def representative_documents(docs: DataFrame, scored: DataFrame, key: str, topic: str, text: str = "text", n: int = 3, digits: int = 9) -> DataFrame:
     """key, topic, rank, similarity: the ``n`` documents of each topic most similar to it by term scores. Every document is scored; none is sampled."""
     counts = docs.select(key, F.col(topic).alias("topic"), F.explode(tk.tokens(F.col(text))).alias("term")).groupBy(key, "topic", "term").agg(F.count(F.lit(1)).alias("c"))
+    scored = cut(scored.select("topic", "term", "idf", "score"))
     met = counts.join(scored.select("topic", "term", "idf", "score"), ["topic", "term"])
     norms = scored.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
     w = F.col("c") * F.col("idf")
     sums = met.groupBy(key, "topic").agg(F.sum(w * F.col("score")).alias("dot"), F.sqrt(F.sum(w * w)).alias("own"))
     value = F.round(F.col("dot") / (F.col("own") * F.col("norm")), digits)
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), key)
-    ranked = sums.join(small(norms), "topic").withColumn("similarity", value).withColumn("rank", F.row_number().over(order))
+    ranked = sums.join(norms, "topic").withColumn("similarity", value).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= n).select(key, "topic", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
 def nearest_words(candidates: DataFrame, word_vectors: DataFrame, document_vectors: DataFrame, n: int = 10, digits: int = 9) -> DataFrame:
     """topic, rank, term, score: candidates (topic, term) by similarity to the mean of their topic's representative documents (topic, vector)."""
     centers = v.mean_vectors(document_vectors, "topic", "vector").withColumnRenamed("vector", "__c")
-    joined = candidates.select("topic", "term").join(word_vectors.select("term", v.doubles(F.col("vector")).alias("__w")), "term").join(small(centers), "topic")
+    joined = candidates.select("topic", "term").join(word_vectors.select("term", v.doubles(F.col("vector")).alias("__w")), "term").join(centers, "topic")
     scored = joined.withColumn("score", F.round(v.cosine(F.col("__w"), F.col("__c")), digits))
     order = Window.partitionBy("topic").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("topic", "rank", "term", "score")

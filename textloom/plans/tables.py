@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
+#: A side of a cross join is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 50_000
+SCRATCH = "textloom-"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is small; else as it is, so that Spark joins it by shuffling."""
+def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written once, with a broadcast hint if it is small; else as written. For cross joins, which can't be planned anew when sizes are known;
+    equality joins need no hint: adaptive execution measures their sides and broadcasts a small one."""
+    df = cut(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that executors share (``spark.checkpoint.dir``); a temporary one of ours where none is named, as in tests."""
+    """A new folder of this application's under the one that executors share (``spark.checkpoint.dir``); a temporary one of ours where none is named, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{SCRATCH}{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that :func:`cut` has written for this application; results that haven't been read yet can't be read after it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{SCRATCH}{spark.sparkContext.applicationId}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions import vectors as v
-from ..operators import clusters, ctfidf, hierarchy, similarity, topics
+from ..operators import clusters, ctfidf, hierarchy, outliers, similarity, topics, tuners
 from ..sources import files
 
 
@@ -73,12 +73,48 @@ class TopicModel:
         """``docs`` with the nearest topic and its similarity; works on a streaming table too."""
         return similarity.nearest(docs, self.vectors.where("topic <> -1"), vector)
 
+    def representative_documents(self, key: str = "doc_id", text: str = "text", topic: str = "topic", n: int = 3) -> DataFrame:
+        """key, topic, rank, similarity: the documents of each topic most like its words."""
+        return tuners.representative_documents(self.labelled, self.scores, key, topic, text, n)
+
+    def tuned(self, *steps: tuners.Tuner) -> DataFrame:
+        """The topics' words after one tuner or several."""
+        return tuners.chain(*steps)(self.words())
+
+    def reduce_outliers(self, key: str = "doc_id", text: str = "text", topic: str = "topic", vector: str = "vector", strategy: str = "distributions", threshold: float = 0.0, probabilities: DataFrame | None = None) -> DataFrame:
+        """The labelled documents with topics for outliers where the strategy finds one; put them in force with :meth:`update`."""
+        lost, scored = self.labelled.where(F.col(topic) == outliers.OUTLIER), self.scores.where(F.col("topic") != outliers.OUTLIER)
+        if strategy == "distributions":
+            found = outliers.by_distributions(lost, scored, key, text, threshold)
+        elif strategy == "probabilities":
+            if probabilities is None:
+                raise ValueError("this strategy needs probabilities: key, topic, probability")
+            found = outliers.by_probabilities(lost, probabilities, key, threshold)
+        elif strategy == "c-tf-idf":
+            found = outliers.by_term_scores(lost, scored, key, text, threshold)
+        elif strategy == "embeddings":
+            found = outliers.by_vectors(lost, self.vectors.where(F.col("topic") != outliers.OUTLIER), key, vector, threshold)
+        else:
+            raise ValueError(f"unknown strategy {strategy!r}: distributions, probabilities, c-tf-idf or embeddings")
+        return outliers.reassign(self.labelled, found, key, topic)
+
+    def reduce(self, n: int | str, text: str = "text", topic: str = "topic", vector: str = "vector") -> TopicModel:
+        """Fewer topics: ``n`` of them, or, by ``"auto"``, one for each dense group of their vectors."""
+        centers = self.vectors.where("topic <> -1")
+        mapping = hierarchy.auto_mapping(centers) if n == "auto" else hierarchy.reduction_mapping(centers.sparkSession, centers, n)
+        kept = mapping.unionByName(self.sizes.where("topic = -1").select(F.col("topic").alias("from_topic"), F.col("topic").alias("to_topic")))
+        docs = topics.remap(self.labelled, kept, topic)
+        docs = topics.remap(docs, topics.renumbering(topics.sizes(docs, topic)), topic)
+        return self._describe(docs, text, topic, vector if vector in docs.columns else None)
+
     def merge(self, groups: list[list[int]], text: str = "text", topic: str = "topic", vector: str = "vector") -> TopicModel:
         docs = topics.remap(self.labelled, topics.merge_mapping(self.sizes, groups), topic)
         return self._describe(docs, text, topic, vector if vector in docs.columns else None)
 
-    def update(self, params: TopicModelParams, text: str = "text", topic: str = "topic", vector: str = "vector") -> TopicModel:
-        return TopicModel(params, labelled=self.labelled)._describe(self.labelled, text, topic, vector if vector in self.labelled.columns else None)
+    def update(self, params: TopicModelParams | None = None, text: str = "text", topic: str = "topic", vector: str = "vector", docs: DataFrame | None = None) -> TopicModel:
+        """The model described anew by other parameters, or for other topics (``docs``, labelled) without a new clustering."""
+        docs = self.labelled if docs is None else docs
+        return TopicModel(params or self.params, labelled=docs)._describe(docs, text, topic, vector if vector in docs.columns else None)
 
     def hierarchy(self) -> DataFrame:
         return hierarchy.tree(self.vectors.sparkSession, self.vectors.where("topic <> -1"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as v
-from ..operators import ctfidf, hierarchy, topics, tuners
+from ..operators import ctfidf, hierarchy, outliers, topics, tuners
 from ..plans.survey import SurveyPipeline
-from ..plans.tables import scratch, small, table
+from ..plans.tables import scratch, table
 from ..plans.topic_model import TopicModel, TopicModelParams
 from ..sources import files
 from ..streaming import online
@@ -86,20 +86,7 @@ def representative_docs(spark, sf_dir):
   SELECT doc_id, topic, similarity FROM (SELECT doc_id, topic, round(dot / (own * norm), 6) AS similarity, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / (own * norm), 6) DESC, topic) AS k FROM m JOIN n USING (topic) JOIN w USING (doc_id)) WHERE k = 1""")
 def reduce_outliers_ctfidf(spark, sf_dir):
     """Outliers (the short documents) take the topic whose term scores are most like theirs."""
-    from pyspark.sql import Window
-
-    from ..functions import tokens as tk
-
-    scored = ctfidf.score(_bow(spark, sf_dir))
-    counts = tk.term_counts(table(spark, sf_dir, "documents").where("n_chars < 400"), "doc_id")
-    idf = scored.groupBy("term").agg(F.max("idf").alias("idf"))
-    w = F.col("n") * F.col("idf")
-    own = counts.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("own"))
-    dots = counts.join(scored.select("topic", "term", "idf", "score"), "term").groupBy("doc_id", "topic").agg(F.sum(w * F.col("score")).alias("dot"))
-    norms = scored.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
-    sims = dots.join(own, "doc_id").join(small(norms), "topic").withColumn("similarity", F.round(F.col("dot") / (F.col("own") * F.col("norm")), 6))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "topic")
-    return sims.withColumn("k", F.row_number().over(order)).where("k = 1").select("doc_id", "topic", "similarity")
+    return outliers.by_term_scores(table(spark, sf_dir, "documents").where("n_chars < 400"), ctfidf.score(_bow(spark, sf_dir)), "doc_id")
 
 
 @query(f"""WITH s AS ({SCORED}), n AS (SELECT topic, sqrt(sum(score * score)) AS norm FROM s GROUP BY 1)
@@ -109,7 +96,7 @@ def topic_similarity_ctfidf(spark, sf_dir):
     norms = s.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
     left, right = s.select(F.col("topic").alias("left_topic"), "term", F.col("score").alias("a")), s.select(F.col("topic").alias("right_topic"), "term", F.col("score").alias("b"))
     dots = left.join(right, "term").groupBy("left_topic", "right_topic").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    joined = dots.join(small(norms.select(F.col("topic").alias("left_topic"), F.col("norm").alias("x"))), "left_topic").join(small(norms.select(F.col("topic").alias("right_topic"), F.col("norm").alias("y"))), "right_topic")
+    joined = dots.join(norms.select(F.col("topic").alias("left_topic"), F.col("norm").alias("x")), "left_topic").join(norms.select(F.col("topic").alias("right_topic"), F.col("norm").alias("y")), "right_topic")
     return joined.select("left_topic", "right_topic", F.round(F.col("dot") / (F.col("x") * F.col("y")), 6).alias("similarity"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..operators import clusters, pairwise, similarity
-from ..plans.tables import ranked, small, table
+from ..plans.tables import ranked, table
 from ._register import query
 
 D = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -53,7 +53,7 @@ def centroids(spark, sf_dir):
 
 @query(f"SELECT vec_id, CAST(label AS BIGINT) AS topic, round({cos_sql('e', 'c')}, 6) AS similarity FROM (SELECT *, {D} AS e FROM embeddings) JOIN ({CENTER_LISTS}) ON topic = label")
 def cosine_to_centroid(spark, sf_dir):
-    c = small(_centers(spark, sf_dir).withColumnRenamed("vector", "c"))
+    c = _centers(spark, sf_dir).withColumnRenamed("vector", "c")
     joined = _embedded(spark, sf_dir).join(c, "topic")
     return joined.select("vec_id", "topic", F.round(v.cosine(v.doubles(F.col("vector")), F.col("c")), 6).alias("similarity"))
 
@@ -66,7 +66,7 @@ def nearest_topic(spark, sf_dir):
 @query(f"SELECT topic // 2 AS topic, i, round(sum(n * c) / sum(n), 6) + 0.0 AS value FROM (SELECT topic, i, avg(x) AS c, count(*) AS n FROM ({LONG}) GROUP BY 1, 2) GROUP BY 1, 2")
 def weighted_topic_vectors(spark, sf_dir):
     sizes = _embedded(spark, sf_dir).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    merged = _centers(spark, sf_dir).join(small(sizes), "topic").withColumn("topic", F.expr("topic div 2"))
+    merged = _centers(spark, sf_dir).join(sizes, "topic").withColumn("topic", F.expr("topic div 2"))
     means = v.mean_vectors(merged, "topic", "vector", "n").select("topic", F.posexplode("vector").alias("i", "x"))
     return means.select("topic", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
@@ -95,7 +95,7 @@ def combine_embeddings(spark, sf_dir):
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
-  d AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS vec_id FROM (SELECT term, count(*) AS n FROM w GROUP BY term) QUALIFY vec_id < 500),
+  d AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS vec_id FROM (SELECT term, count(*) AS n FROM w GROUP BY term)),
   j AS (SELECT doc_id, embedding FROM w JOIN d USING (term) JOIN embeddings USING (vec_id)),
   s AS (SELECT doc_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM j)
   SELECT doc_id, i, round(avg(x), 6) + 0.0 AS value FROM s GROUP BY 1, 2""")
@@ -107,7 +107,7 @@ def word_vector_mean(spark, sf_dir):
     words, dealt = taken(docs), taken(docs.repartition("doc_id"))  # a document's sums stay in one task
     known = ranked(words.groupBy("term").agg(F.count(F.lit(1)).alias("n")), F.desc("n"), "term", name="vec_id").select("term", "vec_id")
     vectors = known.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e")), "vec_id").select("term", "e")
-    counted = dealt.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).join(small(vectors), "term")
+    counted = dealt.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).join(vectors, "term")
     means = v.mean_vectors(counted, "doc_id", "e", "n").select("doc_id", F.posexplode("vector").alias("i", "x"))
     return means.select("doc_id", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("value"))
 
@@ -235,7 +235,7 @@ def cluster_representatives(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat_ws("-", "source", "lang").alias("text"))
     rows = _embedded(spark, sf_dir)
     centers = _centers(spark, sf_dir)
-    scored = rows.join(texts, "vec_id").join(small(centers.withColumnRenamed("vector", "c")), "topic")
+    scored = rows.join(texts, "vec_id").join(centers.withColumnRenamed("vector", "c"), "topic")
     scored = scored.select("topic", "text", F.round(v.cosine(v.doubles(F.col("vector")), F.col("c")), 6).alias("similarity"))
     once = scored.groupBy("topic", "text").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), "text")
@@ -253,7 +253,7 @@ def mmr_words(spark, sf_dir):
     centers = _centers(spark, sf_dir)
     near = F.round(v.cosine(v.doubles(F.col("vector")), F.col("c")), 9)
     order = Window.partitionBy("topic").orderBy(F.desc("near"), "vec_id")
-    scored = _embedded(spark, sf_dir).join(small(centers.withColumnRenamed("vector", "c")), "topic").withColumn("near", near)
+    scored = _embedded(spark, sf_dir).join(centers.withColumnRenamed("vector", "c"), "topic").withColumn("near", near)
     candidates = scored.withColumn("k", F.row_number().over(order)).where("k <= 100").select("vec_id", "vector", "topic")
     return clusters.mmr(candidates, "topic", "vec_id", "vector", centers, 0.3)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import _register, models, survey, text, topics, vectors, views  # noqa: F401
+from .queries import _register, models, more, survey, text, topics, vectors, views  # noqa: F401
 
 QUERIES = _register.QUERIES
 ORACLE_SQL = _register.ORACLE_SQL

@@ -6,6 +6,7 @@ import json
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,13 +104,27 @@ class StageCache:
             return None
         try:
             return self.spark.read.parquet(row["path"])
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise  # the store may be away for a while; the entry stays
             self.invalidate(filename, step)
             return None
 
     def invalidate(self, filename: str, step: str) -> None:
         self._note(filename, step, "", 0.0, "deleted")
 
+    def save_intermediate(self, df: DataFrame, filename: str, key: str) -> bool:
+        """Keeps an intermediate table under a key of its own."""
+        return self.save(df, filename, f"intermediate-{key}")
+
+    def load_intermediate(self, filename: str, key: str, expected=None) -> DataFrame | None:
+        """An intermediate table; None if it isn't there or lacks a column of ``expected`` (a schema), or has one of another type."""
+        found = self.load(filename, f"intermediate-{key}")
+        if found is None or expected is None:
+            return found
+        has = {f.name: f.dataType for f in found.schema}
+        return found if all(has.get(f.name) == f.dataType for f in expected) else None
+
     def statistics(self) -> DataFrame:
         return self.entries().groupBy("step").agg(F.count(F.lit(1)).alias("entries"), F.sum("seconds").alias("seconds"))
 
@@ -117,6 +132,28 @@ class StageCache:
 MODEL_TABLES = ("bow", "ctfidf", "topic_words", "topic_vectors", "topic_sizes", "mapping")
 
 
+def plain(value):
+    """What JSON has no word for, as what it has: numpy numbers and arrays, times, sets; anything else as text."""
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    return sorted(value, key=str) if isinstance(value, (set, frozenset)) else str(value)
+
+
+def package_versions(names: tuple[str, ...] = ("pyspark", "numpy", "pandas", "pyarrow")) -> dict[str, str]:
+    """Versions of the packages that a model was saved with; those that are missing are left out."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    found = {}
+    for name in names:
+        try:
+            found[name] = version(name)
+        except PackageNotFoundError:
+            continue
+    return found
+
+
 def save_model(tables: dict[str, DataFrame], config: dict, path: str) -> None:
     """A model's tables as Parquet and its settings as JSON text."""
     spark = next(iter(tables.values())).sparkSession
@@ -124,12 +161,13 @@ def save_model(tables: dict[str, DataFrame], config: dict, path: str) -> None:
         if name not in MODEL_TABLES:
             raise ValueError(f"{name!r} is no table of a model")
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+    spark.createDataFrame([(json.dumps(config | {"versions": package_versions()}, sort_keys=True, default=plain),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def load_model(spark: SparkSession, path: str, names: tuple[str, ...] = MODEL_TABLES) -> tuple[dict[str, DataFrame], dict]:
     """(tables that are there, settings)."""
     config = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/config").collect()))
+    config.pop("versions", None)
     found = {}
     for name in names:
         try:
