@@ -235,7 +235,13 @@ def corrections_applied(spark, sf_dir):
     return spelling.apply_corrections(docs, corrections).select("doc_id", "corrected", "changed")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT conv_id % 16 AS shard, conv_id, turn, CAST(len({TOK}) AS INTEGER) AS cost, conv_id * 1000 + turn AS place FROM conversations),
+  k AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY place) AS k FROM s),
+  g AS (SELECT shard, conv_id, turn, cost, place, k, CAST(0 AS BIGINT) AS batch, cost AS used, 1 AS n FROM k WHERE k = 1
+    UNION ALL SELECT k.shard, k.conv_id, k.turn, k.cost, k.place, k.k, g.batch + CASE WHEN g.used + k.cost > 500 OR g.n >= 20 THEN 1 ELSE 0 END,
+      CASE WHEN g.used + k.cost > 500 OR g.n >= 20 THEN k.cost ELSE g.used + k.cost END, CASE WHEN g.used + k.cost > 500 OR g.n >= 20 THEN 1 ELSE g.n + 1 END
+    FROM g JOIN k ON k.shard = g.shard AND k.k = g.k + 1)
+  SELECT shard, conv_id, turn, cost, place, batch FROM g""")
 def greedy_batches(spark, sf_dir):
     """Conversations' turns packed under a budget of words."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 16).alias("shard"), "conv_id", "turn", F.size(tk.tokens(F.col("text"))).alias("cost")).withColumn("place", F.col("conv_id") * 1000 + F.col("turn"))
