@@ -102,9 +102,9 @@ def test_topic_model_changes_its_topics(spark):
 
 
 def test_dense_topics_become_one(spark):
-    rows = [(0, [1.0, 0.0, 0.0]), (3, [2.0, 0.02, 0.0]), (1, [0.0, 1.0, 0.0]), (4, [0.0, 3.0, 0.06]), (5, [0.01, 1.0, 0.0]), (2, [-1.0, -1.0, 9.0]), (-1, [1.0, 1.0, 1.0])]
+    rows = [(0, [1.0, 0.0, 0.0]), (3, [2.0, 0.02, 0.0]), (6, [1.0, 0.0, 0.015]), (1, [0.0, 1.0, 0.0]), (4, [0.0, 3.0, 0.06]), (5, [0.01, 1.0, 0.0]), (2, [-1.0, -1.0, 9.0]), (-1, [1.0, 1.0, 1.0])]
     auto = {r["from_topic"]: r["to_topic"] for r in hierarchy.auto_mapping(spark.createDataFrame(rows, "topic long, vector array<double>")).collect()}
-    assert auto == {0: 0, 3: 0, 1: 1, 4: 1, 5: 1, 2: 2}
+    assert auto == {0: 0, 3: 0, 6: 0, 1: 1, 4: 1, 5: 1, 2: 2}
 
 
 def test_representations_and_vectors(spark):
