@@ -266,9 +266,9 @@ def _ask(at: np.ndarray, place: np.ndarray, state: np.ndarray, count: np.ndarray
     return _Asked(part, state, count, word, at, pair, some)
 
 
-def _answered(answers: list) -> list[np.ndarray]:
-    """The arrays of a block's answers, those of all parts together, by part."""
-    told = [unpack(a["packed"]) for a in sorted(answers or [], key=lambda a: a["part"])]
+def _answered(answers: list, decode) -> list[np.ndarray]:
+    """The arrays of a block's answers, those of all parts together, by part; ``decode(part, *arrays)`` reads the numbers in them."""
+    told = [decode(a["part"], *unpack(a["packed"])) for a in sorted(answers or [], key=lambda a: a["part"])]
     return [np.concatenate(x) for x in zip(*told)]
 
 
@@ -277,7 +277,7 @@ def _walk(row: dict, levels: list, hot: list, model: Model):
     state of those levels, and what it asks on the next level; behind the last, the tokens' totals and probabilities by the root."""
     sizes, codes = unpack(row["texts"])
     codes = codes.astype(np.int32)
-    total, number = _answered(levels[0]) or [np.zeros(0, np.int64)] * 2
+    total, number = _answered(levels[0], lambda part, total, rank: (total, np.where(rank < 0, -1, 1 + rank * model.parts + part))) or [np.zeros(0, np.int64)] * 2
     total, number = np.r_[0, total, model.ends], np.r_[-1, number, 0 if model.ends else -1]
     width = len(total) - 1
     chance = (total + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)) if model.tokens else np.ones(width + 1)
@@ -312,7 +312,7 @@ def _runs(a: np.ndarray) -> np.ndarray:
 
 def _read_pairs(asked: _Asked, answers: list, hot: tuple, model: Model):
     """For each pair asked: its context's spare mass (-1: not a state), its total, and its number (-1: no context of the next level)."""
-    told = _answered(answers)
+    told = _answered(answers, lambda part, spare, total, steps: (spare, total, np.cumsum(steps) * model.parts + part))
     if not told:
         return [np.zeros(0, np.int64)] * 3
     spares, total, numbers = told
@@ -380,7 +380,7 @@ def _ask_pairs(blocks: Blocks, levels: list[DataFrame], hot: list, model: Model)
                 word = asked.word[s]
                 steps = _steps(word)
                 steps[heads] = word[heads]
-                packed = pack(_steps(state[heads]), np.diff(np.r_[heads, len(state)]), asked.count[s][heads], steps, n[s], grain[s])
+                packed = pack(_steps(state[heads] // model.parts), state[heads] % model.parts, np.diff(np.r_[heads, len(state)]), asked.count[s][heads], steps, n[s], grain[s])
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["block"]]), pa.array([packed], pa.binary())], names=["part", "block", "packed"])
 
     return _joined(blocks, ["held", "texts"], levels).mapInArrow(run, _QUESTIONS)
@@ -424,9 +424,10 @@ def merge_words(part: int, messages: list, model: Model) -> tuple[list[bytes], t
     total = np.bincount(place, np.concatenate([m[1] for m in messages]), len(found)).astype(np.int64)
     rank = np.empty(len(found), np.int64)
     rank[np.argsort(-total, kind="stable")] = np.arange(len(found))
-    number = np.where(total >= min(model.min_context, model.min_entry), 1 + rank * model.parts + part, -1)
+    # A word's number is 1 + rank * parts + part; the rank is what is sent.
+    rank[total < min(model.min_context, model.min_entry)] = -1
     sizes = [len(m[0]) for m in messages]
-    return [pack(t, i) for t, i in zip(_cut(total[place], sizes), _cut(number[place], sizes))], (pack(), int((total > 0).sum()))
+    return [pack(t, i) for t, i in zip(_cut(total[place], sizes), _cut(rank[place], sizes))], (pack(), int((total > 0).sum()))
 
 
 def divergence(count: np.ndarray, held: np.ndarray, known: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -439,17 +440,17 @@ def divergence(count: np.ndarray, held: np.ndarray, known: np.ndarray, mass: np.
 
 def merge_pairs(part: int, messages: list, model: Model) -> tuple[list[bytes], tuple]:
     """Totals of the part's pairs, tests of its contexts, and numbers for those pairs that may be contexts. What is known of hot contexts goes into the part's own row."""
-    runs = [m[1] for m in messages]
-    heads = np.concatenate([np.cumsum(m[0]) for m in messages])
+    runs = [m[2] for m in messages]
+    heads = np.concatenate([np.cumsum(m[0]) * model.parts + m[1] for m in messages])
     state = np.repeat(heads, np.concatenate(runs))
-    steps, n, grain = (np.concatenate([m[k] for m in messages]) for k in (3, 4, 5))
+    steps, n, grain = (np.concatenate([m[k] for m in messages]) for k in (4, 5, 6))
     # Words are told by their distances within a context.
     sizes = np.concatenate(runs)
     first = np.cumsum(sizes) - sizes
     word = np.cumsum(steps)
     word -= np.repeat(word[first] - steps[first], sizes)
     states, first, head_at = np.unique(heads, return_index=True, return_inverse=True)
-    count = np.concatenate([m[2] for m in messages])[first]
+    count = np.concatenate([m[3] for m in messages])[first]
     place = np.repeat(head_at, np.concatenate(runs))
     words = int(word.max(initial=0)) + 1
     some, pair = _distinct(place * words + word, len(states) * words)
@@ -466,11 +467,12 @@ def merge_pairs(part: int, messages: list, model: Model) -> tuple[list[bytes], t
     spare[hot] = -2
     number = np.full(len(some), -1)
     may = total >= model.min_context
-    number[may] = np.arange(may.sum()) * model.parts + part
+    number[may] = np.arange(may.sum())
     sizes = [int(r.sum()) for r in runs]
     answers = []
     for s, t, i in zip(_cut(spare[head_at], [len(r) for r in runs]), _cut(total[pair], sizes), _cut(number[pair], sizes)):
-        answers.append((s, t, i[t >= model.min_context]))
+        # A pair's number is its place * parts + part; what is sent are the steps between places.
+        answers.append((s, t, _steps(i[t >= model.min_context])))
     about = pack(states[hot], count[hot], held[hot], known[hot].view(np.int64), mass[hot].view(np.int64)) if len(hot) else None
     return [pack(*a) for a in answers], (about, 0)
 
