@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import vectors as v
 from ..operators import clusters, codebook, ctfidf, export, hierarchy, labelling, outliers, segments, spelling
 from ..plans.prompts import TEMPLATES
@@ -73,7 +74,7 @@ CONCEPTS = f"SELECT regexp_replace(lower(trim(label)), '\\s+', ' ', 'g') AS conc
 def _labels(spark, sf_dir):
     first = F.substring_index("text", " ", 1)
     turns = table(spark, sf_dir, "conversations").where("turn = 0")
-    return turns.select(F.col("conv_id").alias("cluster"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.upper(first))).otherwise(first).alias("label"))
+    return turns.select(F.col("conv_id").alias("cluster"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), tx.upper(first))).otherwise(first).alias("label"))
 
 
 @query(CONCEPTS)

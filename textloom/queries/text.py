@@ -59,7 +59,7 @@ def finalizer_stats(spark, sf_dir):
     t = F.col("text")
     first = F.substring(t, 1, 1)
     return table(spark, sf_dir, "documents").agg(
-        F.count_if(first != F.upper(first)).alias("no_capital"),
+        F.count_if(first != tx.upper(first)).alias("no_capital"),
         F.count_if(~F.substring(t, -1, 1).isin(".", "!", "?")).alias("no_end_mark"),
         F.count_if(t.rlike(r"\.{2,}|\?{2,}|!{2,}|" + BLANK + "{2,}")).alias("repeated_marks"),
     )
