@@ -26,3 +26,9 @@ def test_concepts_keep_sharp_s(spark, tmp_path):
     words = ["enkeitß und", "\ufb01ne x", "\u1fb3 y", "\u0149a", "plain", None, "", "ß"]
     rows = [(3 * k, 0, "user", w) for k, w in enumerate(words)] + [(3 * k + 1, 0, "user", w) for k, w in enumerate(words)]
     assert differ(spark, tmp_path, "atomic_concepts", conversations=(rows, TURNS)) == (set(), set())
+
+
+def test_labels_keep_sharp_s_and_count_texts_about_errors(spark, tmp_path):
+    texts = ["aß", "groß", "gross", "GROSS", "iß aß das", "\ufb01n \ufb01ne", "Processing error.", "na", "", None, "x"]
+    rows = [(k // 2, k % 2, "user", t) for k, t in enumerate(texts)]
+    assert differ(spark, tmp_path, "segment_stats", conversations=(rows, TURNS)) == (set(), set())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import finalize
+from ..functions.text import finalize, upper
 
 FAILED = "NA"
 BROKEN = "PROCESSING_ERROR"
@@ -19,7 +19,7 @@ def split_sentences(rows: DataFrame, keys: list[str], text: str, pattern: str =
 
 def label(text: Column, words: int = 3) -> Column:
     """A label without a language model: the first words in upper case, joined by underscores; ``NA`` without words."""
-    found = F.slice(F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)), 1, words)
+    found = F.slice(F.regexp_extract_all(upper(text), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)), 1, words)
     return F.when(F.size(found) > 0, F.array_join(found, "_")).otherwise(F.lit(FAILED))
 
 
@@ -27,9 +27,9 @@ def with_labels(rows: DataFrame, text: str, words: int = 3) -> DataFrame:
     return rows.withColumn("label", label(F.col(text), words))
 
 
-def statistics(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """labels (distinct), mean_words of a label, several (responses of more than one segment); failed labels don't count."""
-    real = ~F.col(label).isin(FAILED, BROKEN)
+def statistics(rows: DataFrame, key: str, label: str, failed: tuple[str, ...] = (FAILED, BROKEN)) -> DataFrame:
+    """labels (distinct), mean_words of a label, several (responses of more than one segment); ``failed`` labels don't count."""
+    real = ~F.col(label).isin(*failed)
     of_labels = rows.agg(F.count_distinct(F.when(real, F.col(label))).alias("labels"), F.round(F.avg(F.when(real, F.size(F.split(label, "_")))), 6).alias("mean_words"))
     of_rows = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("several"))
     return of_labels.join(of_rows)  # one row each

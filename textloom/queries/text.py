@@ -173,7 +173,7 @@ LABELS = "regexp_extract_all(upper(text), '[\\p{L}\\p{N}]{3,}')[1:3]"
   (SELECT count(*) FROM r WHERE n > 1) AS several""")
 def segment_stats(spark, sf_dir):
     labelled = segments.with_labels(table(spark, sf_dir, "conversations"), "text")
-    return segments.statistics(labelled, "conv_id", "label")
+    return segments.statistics(labelled, "conv_id", "label", (segments.FAILED,))  # the rule breaks no label; a text may say "processing error"
 
 
 @query("""SELECT conv_id, count(*) AS n, string_agg(CAST(turn AS VARCHAR) || ':' || role, ',' ORDER BY turn) AS nested FROM conversations GROUP BY conv_id""")
