@@ -65,3 +65,16 @@ def test_word_vectors_in_blocks(spark, tmp_path, monkeypatch):
     rows += [(3, "w1 w1 w5", "en", "s", 1), (None, "w1 w2", "en", "s", 1), (None, "w3", "en", "s", 1), (50, None, "en", "s", 0), (51, "w0 w0 nothing", "en", "s", 0)]
     vecs = [(k, [float(k), k / 7, -1.0 * k]) for k in range(9)] + [(9, None), (10, []), (11, [1.0, None, 3.0]), (12, [2.0]), (13, [None, 0.5])]
     assert differ(spark, tmp_path, "word_vector_mean", documents=(rows, DOCS), embeddings=(vecs, "vec_id long, embedding array<float>")) == (set(), set())
+
+
+def test_parts_of_a_block_are_whole_documents(monkeypatch):
+    import pyarrow as pa
+
+    from textloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "PART_TOKENS", 5)
+    texts, sizes = [1, 2, 1, 1, 3], [3, 1, 4, 9, 1, 2, 2, 2]
+    row = {"keys": pa.array([10, 11, 12, 13, 14]), "texts": pa.array(texts), "sizes": pa.array(sizes), "codes": pa.array(range(24)), "found": "all"}
+    parts = list(blocks._parts(row))
+    assert len(parts) > 2 and all(p["found"] == "all" and sum(p["texts"].to_pylist()) == len(p["sizes"]) and sum(p["sizes"].to_pylist()) == len(p["codes"]) for p in parts)
+    assert all([x for p in parts for x in p[c].to_pylist()] == row[c].to_pylist() for c in ("keys", "texts", "sizes", "codes"))
