@@ -240,3 +240,14 @@ def test_density_clusters_of_many_rows_use_all_rows(spark, monkeypatch):
     a, b = np.triu_indices(len(x), 1)
     d = np.maximum(far, np.maximum(core[:, None], core))[a, b]
     assert sorted(clusters._spanning_edges(numbered, 10, len(x))["d"]) == pytest.approx(sorted(d[clusters._forest(a, b, d)]), abs=1e-6)
+
+
+def test_outlier_whose_cosine_rounds_to_nothing_has_a_topic(spark):
+    """A topic of 150 million words, where a word that occurs once has a cosine below 0.0000005."""
+    from textloom.operators import outliers
+
+    scored = spark.createDataFrame([("en", "the", 2.0, 0.24), ("en", "rare", 18.0, 1e-7), ("de", "die", 2.0, 0.3)], "topic string, term string, idf double, score double")
+    docs = spark.createDataFrame([(1, "rare"), (2, "the"), (3, "unseen"), (4, None)], "doc_id long, text string")
+    found = {tuple(r) for r in outliers.by_term_scores(docs, scored, "doc_id").collect()}
+    assert found == {(1, "en", 0.0), (2, "en", 1.0)}
+    assert {r["doc_id"] for r in outliers.by_term_scores(docs, scored, "doc_id", threshold=0.5).collect()} == {2}

@@ -78,3 +78,10 @@ def test_parts_of_a_block_are_whole_documents(monkeypatch):
     parts = list(blocks._parts(row))
     assert len(parts) > 2 and all(p["found"] == "all" and sum(p["texts"].to_pylist()) == len(p["sizes"]) and sum(p["sizes"].to_pylist()) == len(p["codes"]) for p in parts)
     assert all([x for p in parts for x in p[c].to_pylist()] == row[c].to_pylist() for c in ("keys", "texts", "sizes", "codes"))
+
+
+def test_outliers_with_texts_of_no_language(spark, tmp_path):
+    """A null language gives no topic, and its words have no part in a term's total."""
+    texts = ["uno dos tres", "one two three three", "dos two", "tres tres one", "two uno", "three dos uno"]
+    rows = [(k, t, ("es", "en", None)[k % 3], "s", len(t)) for k, t in enumerate(texts)]
+    assert differ(spark, tmp_path, "reduce_outliers_ctfidf", documents=(rows, DOCS)) == (set(), set())

@@ -15,10 +15,14 @@ from . import distribution, similarity
 OUTLIER = -1
 
 
-def best(weights: DataFrame, key: str, weight: str, threshold: float = 0.0) -> DataFrame:
-    """key, topic, weight: the heaviest topic of each row (ties: smaller topic), if it weighs something and the threshold or more."""
+def best(weights: DataFrame, key: str, weight: str, threshold: float = 0.0, exact: str | None = None) -> DataFrame:
+    """key, topic, weight: the heaviest topic of each row (ties: smaller topic), if it weighs something and the threshold or more.
+
+    ``exact``: the weight before it was rounded, which then decides whether it weighs enough; a small one may round to 0.
+    """
+    enough = F.col(exact or weight)
     order = Window.partitionBy(key).orderBy(F.desc(weight), "topic")
-    top = weights.withColumn("__k", F.row_number().over(order)).where((F.col("__k") == 1) & (F.col(weight) > 0) & (F.col(weight) >= threshold))
+    top = weights.where((enough > 0) & (enough >= threshold)).withColumn("__k", F.row_number().over(order)).where("__k = 1")
     return top.select(key, "topic", weight)
 
 
@@ -34,7 +38,7 @@ def by_probabilities(outliers: DataFrame, probabilities: DataFrame, key: str, th
 
 
 def by_term_scores(outliers: DataFrame, scored: DataFrame, key: str, text: str = "text", threshold: float = 0.0, digits: int = 6) -> DataFrame:
-    """Cosine of a row's terms, weighted by idf, and the topics' scores."""
+    """Cosine of a row's terms, weighted by idf, and the topics' scores. In a large topic a rare term's cosine rounds to 0; it is the best topic all the same."""
     scored = cut(scored.select("topic", "term", "idf", "score"))
     counts = cut(tk.term_counts(outliers, key, text))
     idf = scored.groupBy("term").agg(F.max("idf").alias("idf"))
@@ -42,8 +46,8 @@ def by_term_scores(outliers: DataFrame, scored: DataFrame, key: str, text: str =
     own = counts.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("own"))
     dots = counts.join(scored, "term").groupBy(key, "topic").agg(F.sum(w * F.col("score")).alias("dot"))
     norms = scored.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
-    value = F.round(F.col("dot") / (F.col("own") * F.col("norm")), digits)
-    return best(dots.join(own, key).join(norms, "topic").withColumn("similarity", value), key, "similarity", threshold)
+    sims = dots.join(own, key).join(norms, "topic").withColumn("__exact", F.col("dot") / (F.col("own") * F.col("norm")))
+    return best(sims.withColumn("similarity", F.round("__exact", digits)), key, "similarity", threshold, "__exact")
 
 
 def by_vectors(outliers: DataFrame, centers: DataFrame, key: str, vector: str = "vector", threshold: float = 0.0) -> DataFrame:
