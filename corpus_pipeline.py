@@ -45,8 +45,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids and the text that the ids decode to; a row for each row, nulls in the first three kept."""
     prepare(spark)
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    ids = bpe.encode_documents(docs, vocabulary, keep=["doc_id", "source", "lang"])
-    both = bpe.decode_documents(ids, vocabulary, keep=["doc_id", "source", "lang", "ids"])
+    both = bpe.code_documents(docs, vocabulary, keep=["doc_id", "source", "lang"])
     return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

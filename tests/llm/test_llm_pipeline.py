@@ -67,3 +67,29 @@ def test_odd_rows(spark, coder):
     assert result(got) == after(rows, lambda r: not quality_rules.measure(r[1])[5], coder)
     assert {r["doc_id"] for r in got.collect()} >= {1, 3, 5, 6, 9}
     assert run_on(spark, docs.where("1 = 0")).count() == 0
+
+
+def test_encoding_takes_one_worker_a_task(spark, coder):
+    import public_tokenizers
+
+    from textloom.llm import bpe
+
+    rows = [(1, "s", "en", "The  Café\n<unk> x"), (2, None, None, None), (None, "s", "de", ""), (4, "s", "en", "word " * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    found = corpus_pipeline.encoded(spark, docs, "")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    apart = bpe.decode_documents(bpe.encode_documents(docs, vocabulary, keep=["doc_id", "source", "lang"]), vocabulary)
+    assert sorted(map(str, found.drop("n_tokens").collect())) == sorted(map(str, apart.collect()))
+    assert all(r["n_tokens"] == len(r["ids"]) for r in found.collect())
+
+
+def test_workers_let_go_what_other_operators_left(coder):
+    from textloom.llm import _common, bpe, pii
+
+    bpe._LOADED[1] = coder
+    list(pii.anchors("a@b"))
+    _common.let_go("textloom.llm.bpe")
+    assert bpe._LOADED == {1: coder} and not pii._AUTO
+    _common.let_go("textloom.llm.simhash_dedup")
+    assert not bpe._LOADED and pii.find_spans("a@b.de")["email"] == [(0, 6)]

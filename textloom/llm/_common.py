@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -92,6 +94,29 @@ def free_name(taken: Iterable[str], wish: str) -> str:
     return wish
 
 
+#: What a worker keeps from one task to the next, as (module, name of a dict or list).
+KEPT = (("textloom.llm.bpe", "_LOADED"), ("textloom.llm.pii", "_AUTO"))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; without it a worker stays as large as it ever was."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
+def let_go(owner: str) -> None:
+    """Drops what tasks of other modules than ``owner`` left in this worker: Spark gives its workers to whatever runs next, and an idle one holds on to all it has."""
+    dropped = False
+    for module, name in KEPT:
+        if module != owner and module in sys.modules and (kept := getattr(sys.modules[module], name)):
+            kept.clear()
+            dropped = True
+    if dropped:
+        trim()
+
+
 def map_text(df: DataFrame, text_col: str, fn, fields: list[T.StructField], keep: list[str], also: Iterable[str] = ()) -> DataFrame:
     """Runs ``fn(list of texts, *lists of also) -> list of columns`` batch by batch; returns the ``keep`` columns and the new ``fields``.
 
@@ -102,14 +127,17 @@ def map_text(df: DataFrame, text_col: str, fn, fields: list[T.StructField], keep
     out = T.StructType([df.schema[c] for c in keep] + fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out)
+    arrow, owner = to_arrow_schema(out), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
         for batch in batches:
             columns = fn(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text_col, *also)])
             made = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             made = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(made)]
             made += [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(len(keep) + i).type) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
+        batch = columns = made = None
+        trim()
 
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, out)

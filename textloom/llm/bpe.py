@@ -181,6 +181,19 @@ def decode_documents(encoded: DataFrame, vocabulary, ids_col: str = "ids", keep:
     return map_text(encoded, ids_col, run, [T.StructField(out_col, T.StringType())], keep)
 
 
+def code_documents(docs: DataFrame, vocabulary, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``keep`` columns, ``ids_col`` and ``out_col``: ids and the text that they decode to, in one pass. Two maps after another would take two workers a task, each with the vocabulary."""
+    new = {ids_col.lower(), out_col.lower()}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+
+    def run(texts):
+        t = _shared(vocabulary)
+        ids = [t.encode(x) for x in texts]
+        return [ids, [t.decode(x) for x in ids]]
+
+    return map_text(docs, text_col, run, [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.StringType())], keep)
+
+
 def coding_digest(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of decoded text: both directions run, only the digests leave the worker."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checked_broadcast, free_name, map_text, materialize
+from ._common import checked_broadcast, free_name, let_go, map_text, materialize, trim
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -194,6 +194,7 @@ def _link_buckets(bits: int):
     """Reads (key, fp) or (key, fp, node) sorted by key and carries an unfinished bucket, of at most ``HOT_BUCKET`` members, to the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(__name__)
         held, rows = [], 0
 
         def links(keys, fps, nodes):
@@ -212,6 +213,8 @@ def _link_buckets(bits: int):
             held, rows = [[c[whole:] for c in columns]], rows - whole
         if rows:
             yield links(*(np.concatenate(x) for x in zip(*held)))
+        held = columns = batch = None
+        trim()
 
     return run
 
@@ -220,6 +223,7 @@ def _link_blocks(bits: int):
     """Reads (key, i, j, block, fp, node) sorted by the first three; links block i with block j of the key, or i with itself."""
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(__name__)
         now, rows = None, []
 
         def done():
